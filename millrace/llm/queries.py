@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, url_filter
+from millrace.llm import bpe, url_filter, window_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, range(0, 20) t(k) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(ws) AS n_words, CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_words - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
