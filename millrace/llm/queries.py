@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, url_filter, window_dedup
+from millrace.llm import bpe, suffix_dedup, url_filter, window_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, range(0, 20) t(k) GROU
 k AS (SELECT w.doc_id, len(ws) AS n_words, CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN c USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_words - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
