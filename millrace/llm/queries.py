@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_extract, simhash, suffix_dedup, toxicity, url_filter, window_dedup
+from millrace.llm import bpe, decontaminate, html_extract, simhash, suffix_dedup, toxicity, url_filter, window_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return html_extract.extract_pages(pages, html_extract.train_on(pages))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
