@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, decontaminate, html_extract, simhash, suffix_dedup, toxicity, url_filter, window_dedup
+from millrace.llm import ann, bpe, decontaminate, html_extract, lm_score, simhash, suffix_dedup, toxicity, url_filter, window_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
