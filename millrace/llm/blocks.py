@@ -10,7 +10,7 @@ buckets follows the input.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,8 +102,8 @@ def plan(docs: DataFrame, text: str, key: str, block_bytes: int, items_per_byte:
     return Plan(np.array(bounds, np.int64), max(5, math.ceil(math.log2(max(1.0, (total.b or 0) * items_per_byte / bucket_items)))))
 
 
-def deal(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame:
-    """(block int, doc_id long, text string). Rows without an id go to negative blocks: they are compared with nothing."""
+def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(block int, doc_id long, text string), and the columns to carry as carry_0, carry_1, ... Rows without an id go to negative blocks: they are compared with nothing."""
     bounds = dealt.bounds
     spread = len(bounds) + 1
 
@@ -113,8 +113,8 @@ def deal(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame:
         found = np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right").astype("int32")
         return pd.Series(np.where(missing, -1 - np.arange(len(ids)) % spread, found)).astype("int32")
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.select(block_of("doc_id").alias("block"), "doc_id", "text")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
+    return rows.select(block_of("doc_id").alias("block"), "*")
 
 
 CELL = "block int, bucket int, n int, kind int, data binary"
@@ -171,6 +171,8 @@ class Texts:
     data: list[bytes]
     rank: np.ndarray
     block: int
+    #: Carried columns, in the same order.
+    carried: list[pa.ChunkedArray]
 
     @staticmethod
     def of(t: pa.Table) -> Texts:
@@ -178,7 +180,8 @@ class Texts:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, data[i]))
         ids, data = [ids[i] for i in order], [data[i] for i in order]
         ranks = np.cumsum([0] + [a != b for a, b in zip(ids, ids[1:])]) if ids else np.zeros(0, np.int64)
-        return Texts(ids, data, ranks, t.column("block")[0].as_py())
+        carried = [t.column(c).take(pa.array(order, pa.int64())) for c in t.column_names if c.startswith("carry_")]
+        return Texts(ids, data, ranks, t.column("block")[0].as_py(), carried)
 
     def batches(self) -> Iterator[tuple[int, int]]:
         """Runs [i, j) of documents of about BATCH_BYTES, so that arrays stay in the processor's caches."""

@@ -90,13 +90,18 @@ def _owners(texts: Texts, places: np.ndarray) -> np.ndarray:
     return texts.rank[np.searchsorted(np.cumsum([len(d) for d in texts.data]), places, side="right")]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", block_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``text`` if asked for (broken characters dropped).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", block_bytes: int = 6 << 20, in_place: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``in_place`` the documents come back instead, all columns as they are but the text (its broken characters
+    dropped) and n_chars. A document that consists of repeats stays, with an empty text.
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a document of a smaller id."""
     depth = length - PERIOD + 1
     dealt = blocks.plan(docs, text, key, block_bytes, 0.24, 1 << 22)
-    rows, bits = blocks.deal(docs, dealt, text, key), dealt.bits
+    carry = docs.columns if in_place else []
+    rows, bits = blocks.deal(docs, dealt, text, key, [c for c in carry if c not in (text, "n_chars")]), dealt.bits
+    bare = rows.select("block", "doc_id", "text")
 
     def send_sample(t: pa.Table) -> pa.Table:
         texts = Texts.of(t)
@@ -137,12 +142,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         out[order] = np.append(False, keys[order][1:] == keys[order][:-1])
         return np.split(out, np.cumsum([len(k) for k, _ in asked])[:-1])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text)
+    schema = docs.schema if in_place else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return blocks.to_table([], arrow)
+            return blocks.to_table([], arrow) if not in_place else pa.table({c: pa.array([]) for c in carry})
         texts = Texts.of(left)
         bit, notes = blocks.replies(right)
         runs = np.frombuffer(notes[0], np.uint32).astype(np.int64).reshape(2, -1) if notes else np.zeros((2, 0), np.int64)
@@ -163,9 +168,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
                 starts, stops = own[new], own[np.append(new[1:] - 1, len(own) - 1)] + length
                 spans = len(new)
                 kept = b"".join([data[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(data)])])
-            out.append((texts.ids[k], len(data), len(data) - len(kept), spans, sha256(kept).hexdigest()) + ((kept.decode(errors="ignore"),) if with_text else ()))
-        return blocks.to_table(out, arrow)
-
-    ranks = blocks.exchange(rows.groupBy("block").applyInArrow(send_sample, blocks.CELL), tied)
-    repeats = blocks.exchange(rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
+            out.append((texts.ids[k], len(data), len(data) - len(kept), spans, sha256(kept).hexdigest()))
+            if in_place:
+                texts.data[k] = kept
+        if not in_place:
+            return blocks.to_table(out, arrow)
+        kept_texts = [d.decode(errors="ignore") for d in texts.data]
+        own = {text: pa.array(kept_texts, pa.string()), "n_chars": pa.array([len(t) for t in kept_texts], pa.int64())}
+        rest = iter(texts.carried)
+        return pa.table({c: own[c] if c in own else next(rest) for c in carry})
+
+    ranks = blocks.exchange(bare.groupBy("block").applyInArrow(send_sample, blocks.CELL), tied)
+    repeats = blocks.exchange(bare.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
+    if not in_place:
+        rows = bare
     return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, schema)
