@@ -1 +1 @@
-
+"""Query registry; importing the modules registers their queries."""
