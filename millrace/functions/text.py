@@ -11,10 +11,16 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strict_answer(text: Column) -> Column:
     """The number after the first "#### ", commas and dollar signs removed; null without one."""
     x = F.regexp_extract(text, r"#### (\-?[0-9\.,]+)", 1)
@@ -35,7 +41,7 @@ def answer_score(answer: Column, truth: Column, score: float = 1.0, format_score
 def normal_answer(text: Column) -> Column:
     """Lower case, no punctuation, no articles, single spaces."""
     x = F.translate(F.lower(text), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -47,7 +53,7 @@ def contains_match(prediction: Column, golds: Column) -> Column:
 
 
 def last_tagged(text: Column, tag: str = "answer") -> Column:
-    return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1)))
+    return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1)))
 
 
 def count_of(text: Column, piece: str) -> Column:
@@ -75,7 +81,7 @@ def parse_call(text: Column) -> Column:
     name = F.regexp_extract(text, r"<function=([^>]+)>", 1)
     keys, values = (F.regexp_extract_all(text, F.lit(r"(?s)<parameter=([^>]+)>(.*?)</parameter>"), F.lit(i)) for i in (1, 2))
     last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(0), F.size(keys)).alias("i")), lambda e: e["k"].isNotNull() & ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]))
-    return F.struct(name.alias("name"), F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], F.trim(e["v"])))).alias("parameters"))
+    return F.struct(name.alias("name"), F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], strip(e["v"])))).alias("parameters"))
 
 
 def question_hash(text: Column) -> Column:
@@ -165,7 +171,7 @@ def digit_sequence(prompt: Column) -> Column:
 
 
 # ---- Python where a grammar is needed ----
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_boxed(text: pd.Series) -> pd.Series:
     r"""Content of the last \boxed{...} or \fbox{...}, braces matched; null if unbalanced or missing."""
 
@@ -184,18 +190,18 @@ def last_boxed(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (candidate first, representative second); asymmetric by nature."""
     return pd.Series([0.0 if x is None or y is None else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shell_quote(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else shlex.quote(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_latex(text: pd.Series) -> pd.Series:
     """Common spellings of an answer in LaTeX brought to one: fractions, roots, units, degrees, spaces."""
 
@@ -214,7 +220,11 @@ def normal_latex(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-ENTITIES = "array<struct<kind:string,name:string,start:int,end:int>>"
+def _rows(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+
+
+ENTITIES = _rows(kind=T.StringType(), name=T.StringType(), start=T.IntegerType(), end=T.IntegerType())
 
 
 @F.pandas_udf(ENTITIES)
@@ -246,7 +256,7 @@ def source_entities(source: pd.Series) -> pd.Series:
     return source.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def same_code(a: pd.Series, b: pd.Series) -> pd.Series:
     """Equal but for comments and doc strings; unparsable sources compare as text."""
 
@@ -263,7 +273,7 @@ def same_code(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and bare(x) == bare(y) for x, y in zip(a, b)])
 
 
-DIFF = "array<struct<path:string,old_start:int,new_start:int,kind:string,content:string,line:int>>"
+DIFF = _rows(path=T.StringType(), old_start=T.IntegerType(), new_start=T.IntegerType(), kind=T.StringType(), content=T.StringType(), line=T.IntegerType())
 
 
 @F.pandas_udf(DIFF)

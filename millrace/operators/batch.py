@@ -170,7 +170,7 @@ def concat(frames: Sequence[DataFrame]) -> DataFrame:
 def rows_to_columns(df: DataFrame, *columns: str) -> DataFrame:
     """One row of arrays in order of row_id: for bounded frames."""
     s = df.agg(F.sort_array(F.collect_list(F.struct(RID, *columns))).alias("_s"))
-    return s.select(*(F.transform("_s", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return s.select(*(F.col("_s")[c].alias(c) for c in columns))
 
 
 def balance_to(df: DataFrame, divisor: int, mode: str = "copy", seed: int = 0) -> DataFrame:

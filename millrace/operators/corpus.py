@@ -135,7 +135,7 @@ def step_totals(df: DataFrame, steps: str, key: str, fields: Sequence[str]) -> D
     """Sum and largest of numeric fields over a trajectory's steps, inside the row."""
     out = [F.col(key)]
     for f in fields:
-        v = F.transform(steps, lambda s, f=f: s[f].cast("double"))
+        v = F.transform(F.col(steps)[f], lambda x: x.cast("double"))
         out += [F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias(f"sum_{f}"), F.array_max(v).alias(f"max_{f}")]
     return df.select(*out)
 

@@ -91,8 +91,8 @@ def interval_overlap(spans: DataFrame, pieces: DataFrame, key: str, start: str =
 
 def range_fill(spans: DataFrame, key: str, start: str, end: str, value: str, weight: str, order: str) -> DataFrame:
     """Per position of a key: the value of the covering span of the largest weight; the earlier of equals wins."""
-    x = spans.filter(F.col(end) > F.col(start)).withColumn("at", F.explode(F.sequence(F.col(start), F.col(end) - 1)))
-    return x.groupBy(key, "at").agg(F.max_by(value, F.struct(F.col(weight), (-F.col(order)).alias("o"))).alias(value))
+    x = spans.filter(F.col(end) > F.col(start)).withColumn("place", F.explode(F.sequence(F.col(start), F.col(end) - 1)))
+    return x.groupBy(key, "place").agg(F.max_by(value, F.struct(F.col(weight), (-F.col(order)).alias("o"))).alias(value))
 
 
 def as_of(left: DataFrame, right: DataFrame, l_time: str, r_time: str, value: str, *keys: str) -> DataFrame:
@@ -144,21 +144,12 @@ def similar_groups(df: DataFrame, text: str, order: str, threshold: float, *keys
 
 
 def schedule_intervals(df: DataFrame, start: str, end: str, score: str, order: str, *keys: str) -> DataFrame:
-    """Non-overlapping intervals per bounded group, greedily by score, then length, then order."""
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_l=pdf[end] - pdf[start]).sort_values([score, "_l", order], ascending=[False, False, True])
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for a, b in zip(pdf[start], pdf[end]):
-            ok = all(b <= x or a >= y for x, y in taken)
-            keep.append(ok)
-            if ok:
-                taken.append((a, b))
-        return pdf[keep][[*keys, start, end, score, order]]
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, start, end, score, order)))
+    """Non-overlapping intervals per bounded group, greedily by score, then length, then order: a fold inside a row."""
+    item = F.struct((-F.col(score)).alias("_s"), (F.col(start) - F.col(end)).alias("_l"), F.col(order).alias(order), F.col(start).alias(start), F.col(end).alias(end), F.col(score).alias(score))
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_i"))
+    clash = lambda kept, x: F.exists(kept, lambda k: (k[start] < x[end]) & (x[start] < k[end]))
+    kept = F.aggregate("_i", F.slice("_i", 1, 0), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
+    return g.select(*keys, F.explode(kept).alias("_k")).select(*keys, *(F.col(f"_k.{c}") for c in (start, end, score, order)))
 
 
 def line_entities(lines: DataFrame, entities: DataFrame, *keys: str, line: str = "line", start: str = "start", end: str = "end") -> DataFrame:

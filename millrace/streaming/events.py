@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream of Parquet files; the files of a trigger bound its size."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    """A stream of a folder's Parquet files; the files of a trigger bound its size."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def timed(df: DataFrame, ts: str = "ts", delay: str | None = "10 minutes") -> DataFrame:
