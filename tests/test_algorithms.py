@@ -17,7 +17,7 @@ from millrace.streaming import events as S
 
 
 def test_group_baseline_literal(spark):
-    d = spark.createDataFrame([(i, g, r) for i, (g, r) in enumerate(zip("AAAAB", [1.0, 1, 0, 0, 0.7]))], "row_id long, uid string, score double")
+    d = spark.createDataFrame([(i, g, r) for i, (g, r) in enumerate(zip("AAAAB", [1.0, 1.0, 0.0, 0.0, 0.7]))], "row_id long, uid string, score double")
     out = d.withColumn("a", G.centred(F.col("score"), "uid", ddof=None, singleton="zero")).orderBy("row_id").collect()
     assert [r.a for r in out] == [0.5, 0.5, -0.5, -0.5, 0.0]
 
