@@ -82,6 +82,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
 @dataclass
 class Plan:
     """How documents are dealt: range bounds of ids, bytes in all, leading bits that choose a bucket."""
@@ -102,8 +108,8 @@ def plan(docs: DataFrame, text: str, key: str, block_bytes: int, items_per_byte:
     return Plan(np.array(bounds, np.int64), max(5, math.ceil(math.log2(max(1.0, (total.b or 0) * items_per_byte / bucket_items)))))
 
 
-def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(block int, doc_id long, text string), and the columns to carry as carry_0, carry_1, ... Rows without an id go to negative blocks: they are compared with nothing."""
+def block_number(dealt: Plan):
+    """Column function: block of an id; rows without an id go to negative blocks."""
     bounds = dealt.bounds
     spread = len(bounds) + 1
 
@@ -113,8 +119,20 @@ def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str]
         found = np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right").astype("int32")
         return pd.Series(np.where(missing, -1 - np.arange(len(ids)) % spread, found)).astype("int32")
 
+    return block_of
+
+
+def later_copies(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame:
+    """(block, doc_id) of documents whose whole text a document of a smaller id has: digests are grouped, texts stay where they are."""
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")).filter("doc_id IS NOT NULL")
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low")
+    return d.join(first, "digest").filter("doc_id > low").select(block_number(dealt)("doc_id").alias("block"), "doc_id")
+
+
+def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(block int, doc_id long, text string), and the columns to carry as carry_0, carry_1, ... Rows without an id go to negative blocks: they are compared with nothing."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
-    return rows.select(block_of("doc_id").alias("block"), "*")
+    return rows.select(block_number(dealt)("doc_id").alias("block"), "*")
 
 
 CELL = "block int, bucket int, n int, kind int, data binary"
@@ -145,7 +163,7 @@ def to_table(rows: list[tuple], schema: pa.Schema = CELL_ARROW) -> pa.Table:
 def exchange(sent: DataFrame, decide: Callable[[list[tuple[np.ndarray, bytes]]], list[np.ndarray]]) -> DataFrame:
     """Replies to cells: per bucket, ``decide`` gets (fingerprints, rest of the data) of each block in order and returns a bit for each fingerprint.
 
-    Cells of kind 1 are a block's notes to itself and come back as they are."""
+    Cells of another kind than 0 are a block's notes to itself and come back as they are."""
 
     def answer(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in CELL_ARROW.names)), key=lambda r: r[0])
@@ -156,11 +174,11 @@ def exchange(sent: DataFrame, decide: Callable[[list[tuple[np.ndarray, bytes]]],
     return sent.groupBy("bucket").applyInArrow(answer, CELL)
 
 
-def replies(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """A block's bits in the order of its sorted fingerprints, and its notes."""
+def replies(t: pa.Table) -> tuple[np.ndarray, dict[int, bytes]]:
+    """A block's bits in the order of its sorted fingerprints, and its notes by kind."""
     rows = sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "n", "data"))), key=lambda r: r[:2])
     bits = [np.unpackbits(np.frombuffer(d, np.uint8), count=n) for k, _, n, d in rows if not k]
-    return (np.concatenate(bits) if bits else np.zeros(0, np.uint8)).astype(bool), [d for k, _, _, d in rows if k]
+    return (np.concatenate(bits) if bits else np.zeros(0, np.uint8)).astype(bool), {k: d for k, _, _, d in rows if k}
 
 
 @dataclass

@@ -1,13 +1,16 @@
 """Removal of repeated byte strings by blockwise suffix sorting over a difference cover.
 
-The cover sample: of every 21 positions of a text the five of a difference cover, so that any two suffixes meet two
-sampled ones after the same shift of under 21 bytes. First the sampled suffixes are sorted, one bucket of leading
-fingerprint bits at a time, to a depth of 30 bytes; the rank found for a sampled suffix is whether it ties with
-another document's. Two suffixes that share 50 bytes share 30 from the sampled pair within their first 21, so a
+The cover sample: of every 13 positions of a text the four of a difference cover, so that any two suffixes meet two
+sampled ones after the same shift of under 13 bytes. First the sampled suffixes are sorted, one bucket of leading
+fingerprint bits at a time, to a depth of 38 bytes; the rank found for a sampled suffix is whether it ties with
+another document's. Two suffixes that share 50 bytes share 38 from the sampled pair within their first 13, so a
 suffix whose sampled neighbours all have ranks of their own is settled without a comparison. Only the others, the
 long ties, go on: their 50-byte keys are sorted, again one bucket at a time, in order of documents, which tells
 which suffixes repeat an earlier document's. Memory is bounded by a block of texts and by a bucket of keys.
 
+Whole copies are settled before: a text that a smaller id has too is all repeats, and what it could give to others
+its original gives. They are found by digests, so texts are moved once, to their block.
+
 Keys are 64-bit fingerprints of the bytes (the sample's are shorter, and only prune), so order inside a bucket is
 that of fingerprints, not of bytes; equality, which is all that removal needs, is the same.
 
@@ -19,6 +22,7 @@ bytes. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from hashlib import sha256
 
 import numpy as np
@@ -29,10 +33,12 @@ from millrace.llm import blocks
 from millrace.llm.blocks import U, Texts
 
 LENGTH = 50
-#: A difference cover modulo 21.
-PERIOD, COVER = 21, np.isin(np.arange(21), (0, 1, 4, 14, 16))
+#: A difference cover modulo 13.
+PERIOD, COVER = 13, np.array([0, 1, 3, 9])
 #: Low bits left out of the sample's keys: they only prune.
 SAMPLE_DROP = 24
+#: Notes of a block to itself: runs of suffixes that are not settled, and ids of whole copies.
+LIVE, COPIES = 1, 2
 
 
 def _rolled(texts: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,8 +61,10 @@ def sample(texts: Texts, depth: int) -> tuple[np.ndarray, np.ndarray]:
     keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for base, first, end, sums, up in _rolled(texts):
         lengths = np.maximum(end - first - depth + 1, 0)
-        at = blocks.ranges(first, lengths)
-        at = at[COVER[(at - np.repeat(first, lengths)) % PERIOD]]
+        periods = -(-lengths // PERIOD)
+        step = np.arange(int(periods.sum())) - np.repeat(np.cumsum(periods) - periods, periods)
+        at = ((np.repeat(first, periods) + PERIOD * step)[:, None] + COVER).ravel()
+        at = at[at < np.repeat(first + lengths, len(COVER) * periods)]
         keys.append(_keys(sums, up, at, depth) >> U(SAMPLE_DROP))
         places.append(at + base)
     return np.concatenate(keys), np.concatenate(places)
@@ -103,11 +111,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     rows, bits = blocks.deal(docs, dealt, text, key, [c for c in carry if c not in (text, "n_chars")]), dealt.bits
     bare = rows.select("block", "doc_id", "text")
 
-    def send_sample(t: pa.Table) -> pa.Table:
-        texts = Texts.of(t)
-        if texts.block < 0:
+    def blanked(texts: Texts, copies: bytes) -> Texts:
+        """Without the texts of whole copies."""
+        gone = set(np.frombuffer(copies, np.int64).tolist())
+        return replace(texts, data=[b"" if i in gone else d for i, d in zip(texts.ids, texts.data)])
+
+    def send_sample(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or left.column("block")[0].as_py() < 0:
             return blocks.to_table([])
-        return blocks.to_table(blocks.cells(texts.block, np.unique(sample(texts, depth)[0]) << U(SAMPLE_DROP), bits, SAMPLE_DROP))
+        copies = np.unique(right.column("doc_id").to_numpy()).astype(np.int64).tobytes()
+        texts = blanked(Texts.of(left), copies)
+        note = (texts.block, texts.block % (1 << bits), 0, COPIES, copies)
+        return blocks.to_table([note, *blocks.cells(texts.block, blocks.distinct(sample(texts, depth)[0]) << U(SAMPLE_DROP), bits, SAMPLE_DROP)])
 
     def tied(asked: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
         """Which sampled keys another block has too."""
@@ -121,18 +136,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     def send_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left.column("block")[0].as_py() < 0:
             return blocks.to_table([])
-        texts = Texts.of(left)
+        bit, notes = blocks.replies(right)
+        texts = blanked(Texts.of(left), notes[COPIES])
         keys, places = sample(texts, depth)
         order, _, group, low, high = _groups(keys, _owners(texts, places))
         ties = np.zeros(len(keys), bool)
-        ties[order] = ((low != high) | blocks.replies(right)[0])[group]
+        ties[order] = ((low != high) | bit)[group]
         at = places[ties]
         first = np.maximum(at - PERIOD + 1, np.append(0, at[:-1] + 1)) if len(at) else at
         live = blocks.ranges(first, at + 1 - first)
         edges = np.flatnonzero(np.append(True, np.diff(live) != 1)) if len(live) else live
         runs = np.concatenate([live[edges], np.diff(np.append(edges, len(live)))]).astype(np.uint32)
-        note = (texts.block, texts.block % (1 << bits), 0, 1, runs.tobytes())
-        return blocks.to_table([note, *blocks.cells(texts.block, np.unique(suffix_keys(texts, live, length)[0]), bits)])
+        own = [(texts.block, texts.block % (1 << bits), 0, kind, data) for kind, data in ((LIVE, runs.tobytes()), (COPIES, notes[COPIES]))]
+        return blocks.to_table([*own, *blocks.cells(texts.block, blocks.distinct(suffix_keys(texts, live, length)[0]), bits)])
 
     def earlier(asked: list[tuple[np.ndarray, bytes]]) -> list[np.ndarray]:
         """Which keys an earlier block has."""
@@ -148,9 +164,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return blocks.to_table([], arrow) if not in_place else pa.table({c: pa.array([]) for c in carry})
-        texts = Texts.of(left)
+        whole = Texts.of(left)
         bit, notes = blocks.replies(right)
-        runs = np.frombuffer(notes[0], np.uint32).astype(np.int64).reshape(2, -1) if notes else np.zeros((2, 0), np.int64)
+        texts = blanked(whole, notes.get(COPIES, b""))
+        runs = np.frombuffer(notes[LIVE], np.uint32).astype(np.int64).reshape(2, -1) if notes else np.zeros((2, 0), np.int64)
         keys, places = suffix_keys(texts, blocks.ranges(runs[0], runs[1]), length)
         owners = _owners(texts, places)
         order, _, group, low, _ = _groups(keys, owners)
@@ -160,25 +177,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         ends = np.cumsum([len(d) for d in texts.data])
         cuts = np.searchsorted(at, np.append(0, ends))
         out = []
-        for k, data in enumerate(texts.data):
-            own = at[cuts[k] : cuts[k + 1]] - (ends[k] - len(data))
+        for k, data in enumerate(whole.data):
+            own = at[cuts[k] : cuts[k + 1]] - (ends[k] - len(texts.data[k]))
             kept, spans = data, 0
-            if len(own):
+            if len(data) >= length and not texts.data[k]:
+                kept, spans = b"", 1
+            elif len(own):
                 new = np.flatnonzero(np.append(True, np.diff(own) > length))
                 starts, stops = own[new], own[np.append(new[1:] - 1, len(own) - 1)] + length
                 spans = len(new)
                 kept = b"".join([data[a:b] for a, b in zip([0, *stops.tolist()], [*starts.tolist(), len(data)])])
             out.append((texts.ids[k], len(data), len(data) - len(kept), spans, sha256(kept).hexdigest()))
             if in_place:
-                texts.data[k] = kept
+                whole.data[k] = kept
         if not in_place:
             return blocks.to_table(out, arrow)
-        kept_texts = [d.decode(errors="ignore") for d in texts.data]
+        kept_texts = [d.decode(errors="ignore") for d in whole.data]
         own = {text: pa.array(kept_texts, pa.string()), "n_chars": pa.array([len(t) for t in kept_texts], pa.int64())}
-        rest = iter(texts.carried)
+        rest = iter(whole.carried)
         return pa.table({c: own[c] if c in own else next(rest) for c in carry})
 
-    ranks = blocks.exchange(bare.groupBy("block").applyInArrow(send_sample, blocks.CELL), tied)
+    copies = blocks.later_copies(docs, dealt, text, key)
+    ranks = blocks.exchange(bare.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, blocks.CELL), tied)
     repeats = blocks.exchange(bare.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
     if not in_place:
         rows = bare
