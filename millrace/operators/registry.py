@@ -18,8 +18,8 @@ ESTIMATORS: dict[str, Estimator] = {
     "grpo_passk": G.pass_at_k,
     "rloo": G.rloo,
     "rfpp_baseline": G.rfpp_baseline,
-    "gigpo": G.episode_step_joint,
-    "hgpo": G.history_groups,
+    "episode_step": G.episode_step_joint,
+    "history": G.history_groups,
     "return_to_go": R.return_to_go,
 }
 
