@@ -383,8 +383,10 @@ def extract(model: Boosted, pages: list[str | None]) -> list[str]:
 
 def train_on(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Boosted:
     """Trains on generated pages and on at most ``rows`` pages, chosen by a hash of their html."""
-    sample = pages.select("html").filter("html IS NOT NULL AND length(html) < 20000").orderBy(F.xxhash64("html")).limit(rows)
-    return train([r.html for r in sample.collect()])
+    usable = pages.select("html", F.xxhash64("html").alias("h")).filter("html IS NOT NULL AND length(html) < 20000")
+    lowest = usable.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
+    sample = usable.filter(F.col("h") <= lowest).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if lowest is not None else []
+    return train([r.html for r in sample])
 
 
 def extract_pages(pages: DataFrame, model: Boosted) -> DataFrame:
