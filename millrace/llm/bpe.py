@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Fragments of more bytes than this are encoded one by one.
 LONG = 64
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
@@ -208,6 +208,10 @@ class ForcedBoundaryBPE:
             out += [" ".join([x for p in parts for x in (map(get, p) if isinstance(p, list) else p) if x]) for parts in group]
         return out
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that goes on to other work shouldn't hold them."""
+        self.chunks, self.pieces = {}, {}
+
     def encode(self, text: str | None) -> str:
         return self.encode_batch([text])[0]
 
@@ -241,5 +245,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
                     all_ids.append([int(i) for i in ids.split()])
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+        bpe.forget()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
