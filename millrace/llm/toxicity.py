@@ -75,11 +75,10 @@ class Lexicon:
     def __getstate__(self):
         return {**self.__dict__, "_automaton": None}
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Weighted matches outside exceptions, damped; and the same by the root of the number of words."""
+    def features(self, folded: str) -> tuple[float, float]:
+        """Weighted matches of a folded text outside exceptions, damped; and the same by the root of the number of words."""
         if not self.stems:
             return 0.0, 0.0
-        folded = fold(text)
         found, spared = [], []
         for end, (w, n) in self.automaton().iter(folded):
             (found if w is not None else spared).append((end - n + 1, end, w))
@@ -93,29 +92,35 @@ class Lexicon:
     def score(self, text: str | None) -> float:
         if not self.stems:
             return 0.0
-        a, b = self.features(text)
+        a, b = self.features(fold(text))
         c = self.coefficients
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
 
 
 def learn(rows: Iterable[tuple[str | None, int]], min_docs: int = 6, max_stems: int = 200) -> Lexicon:
     """A lexicon from (text, label) rows: stems are chosen greedily by the toxic rows they newly explain."""
-    rows = [(fold(t).split(), int(y)) for t, y in rows]
+    rows = [(fold(t), int(y)) for t, y in rows]
     n_pos = sum(y for _, y in rows)
     n_neg = len(rows) - n_pos
     if not n_pos or not n_neg:
         return Lexicon({})
+
+    def stems_in(folded: str) -> set[str]:
+        return {w[:k] for w in set(folded.split()) if w[:1].isalpha() for k in range(4, min(len(w), 10) + 1)}
+
     pos: Counter = Counter()
+    for folded, y in rows:
+        if y:
+            pos.update(stems_in(folded))
+    pos = Counter({s: n for s, n in pos.items() if n >= min_docs})
     neg: Counter = Counter()
-    stems_of = []
-    for words, y in rows:
-        own = {w[:k] for w in set(words) if w[:1].isalpha() for k in range(4, min(len(w), 10) + 1)}
-        (pos if y else neg).update(own)
-        stems_of.append(own if y else None)
-    good = {s for s, n in pos.items() if n >= min_docs and n / n_pos > 15 * (neg[s] + 0.5) / n_neg}
+    for folded, y in rows:
+        if not y:
+            neg.update(stems_in(folded) & pos.keys())
+    good = {s for s, n in pos.items() if n / n_pos > 15 * (neg[s] + 0.5) / n_neg}
     where: dict[str, set[int]] = {s: set() for s in good}
-    for i, own in enumerate(stems_of):
-        for s in own & good if own else ():
+    for i, (folded, y) in enumerate(rows):
+        for s in stems_in(folded) & good if y else ():
             where[s].add(i)
     stems: dict[str, float] = {}
     left = set().union(*where.values()) if where else set()
@@ -132,7 +137,7 @@ def learn(rows: Iterable[tuple[str | None, int]], min_docs: int = 6, max_stems:
         if pos[s] >= 4 * min_docs and neg[s] == 0 and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems[s] = math.log((pos[s] + 0.5) / (n_pos + 1)) - math.log(0.5 / (n_neg + 1))
     lexicon = Lexicon(stems)
-    x = np.array([[1.0, *lexicon.features(" ".join(words))] for words, _ in rows])
+    x = np.array([[1.0, *lexicon.features(folded)] for folded, _ in rows])
     y = np.array([label for _, label in rows], float)
     c = np.array([math.log(n_pos / n_neg), 0.1, 0.1])
     for _ in range(50):  # Newton steps of a ridge logistic regression
