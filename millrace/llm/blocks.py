@@ -10,6 +10,7 @@ buckets follows the input.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 BATCH_BYTES = 1 << 17
+#: Parts of a group of copies when their digests are joined.
+SALTS = 64
 #: Odd multiplier, 3 modulo 8, of the rolling fingerprints, and the finisher's; fixed so that runs agree.
 BASE, FINISH = 0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93
 _random = np.random.default_rng(20)
@@ -124,9 +127,9 @@ def block_number(dealt: Plan):
 
 def later_copies(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame:
     """(block, doc_id) of documents whose whole text a document of a smaller id has: digests are grouped, texts stay where they are."""
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")).filter("doc_id IS NOT NULL")
-    first = d.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low")
-    return d.join(first, "digest").filter("doc_id > low").select(block_number(dealt)("doc_id").alias("block"), "doc_id")
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")).filter("doc_id IS NOT NULL")
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return d.join(first, ["digest", "salt"]).filter("doc_id > low").select(block_number(dealt)("doc_id").alias("block"), "doc_id")
 
 
 def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -140,12 +143,32 @@ CELL_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as the byte planes of their differences; high planes are near constant and compress."""
-    return np.diff(values, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack_sorted(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8)[: 8 * n].reshape(8, n).T.copy().view(np.uint64).ravel())
+    """Sorted 64-bit values as the byte planes of their differences: the lengths of eight planes, then the planes.
+
+    Planes of zeros are left out; the two highest others hold few bits each and are Huffman-coded if that is shorter."""
+    planes = np.diff(values, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
+    used = [k for k in range(8) if planes[k].any()]
+    parts = [b""] * 8
+    for k in used:
+        parts[k] = planes[k].tobytes()
+        if k in used[-2:]:
+            coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+            short = coder.compress(parts[k]) + coder.flush()
+            if len(short) < len(parts[k]):
+                parts[k] = short
+    return np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def unpack_sorted(data: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    """The values, and what follows them in the data."""
+    sizes = np.frombuffer(data, "<u4", 8).tolist()
+    planes, at = np.zeros((n, 8), np.uint8), 32
+    for k, size in enumerate(sizes):
+        if size:
+            part = data[at : at + size]
+            planes[:, k] = np.frombuffer(part if size == n else zlib.decompress(part, -15), np.uint8)
+            at += size
+    return np.cumsum(planes.view(np.uint64).ravel()), data[at:]
 
 
 def cells(block: int, values: np.ndarray, bits: int, drop: int = 0, extra: np.ndarray | None = None) -> list[tuple]:
@@ -168,7 +191,7 @@ def exchange(sent: DataFrame, decide: Callable[[list[tuple[np.ndarray, bytes]]],
     def answer(t: pa.Table) -> pa.Table:
         rows = sorted(zip(*(t.column(c).to_pylist() for c in CELL_ARROW.names)), key=lambda r: r[0])
         notes, ask = [r for r in rows if r[3]], [r for r in rows if not r[3]]
-        bits = decide([(unpack_sorted(r[4], r[2]), r[4][8 * r[2] :]) for r in ask]) if ask else []
+        bits = decide([unpack_sorted(r[4], r[2]) for r in ask]) if ask else []
         return to_table(notes + [(r[0], r[1], r[2], 0, np.packbits(b).tobytes()) for r, b in zip(ask, bits)])
 
     return sent.groupBy("bucket").applyInArrow(answer, CELL)

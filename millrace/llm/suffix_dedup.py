@@ -98,7 +98,7 @@ def _owners(texts: Texts, places: np.ndarray) -> np.ndarray:
     return texts.rank[np.searchsorted(np.cumsum([len(d) for d in texts.data]), places, side="right")]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", block_bytes: int = 6 << 20, in_place: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", block_bytes: int = 4 << 20, in_place: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``in_place`` the documents come back instead, all columns as they are but the text (its broken characters
@@ -106,10 +106,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
     A byte goes if a string of ``length`` bytes covers it that also starts in a document of a smaller id."""
     depth = length - PERIOD + 1
-    dealt = blocks.plan(docs, text, key, block_bytes, 0.24, 1 << 22)
+    dealt = blocks.plan(docs, text, key, block_bytes, 0.31, 1 << 20)
     carry = docs.columns if in_place else []
     rows, bits = blocks.deal(docs, dealt, text, key, [c for c in carry if c not in (text, "n_chars")]), dealt.bits
-    bare = rows.select("block", "doc_id", "text")
 
     def blanked(texts: Texts, copies: bytes) -> Texts:
         """Without the texts of whole copies."""
@@ -198,8 +197,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         return pa.table({c: own[c] if c in own else next(rest) for c in carry})
 
     copies = blocks.later_copies(docs, dealt, text, key)
-    ranks = blocks.exchange(bare.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, blocks.CELL), tied)
-    repeats = blocks.exchange(bare.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
-    if not in_place:
-        rows = bare
+    ranks = blocks.exchange(rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, blocks.CELL), tied)
+    repeats = blocks.exchange(rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
     return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, schema)
