@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 CACHE_ENTRIES = 300_000
+#: Documents encoded together: what they need at once stays small beside the caches.
+ROWS = 128
 #: Fragments of more bytes than this are encoded one by one.
 LONG = 64
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
@@ -235,16 +237,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
-            counts, ids_hash, decoded_hash, all_ids = [], [], [], []
-            for ids in bpe.encode_batch(batch.column(1).to_pylist()):
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_hash.append(sha256(ids.encode()).hexdigest())
-                decoded_hash.append(sha256(bpe.decode(ids).encode()).hexdigest())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                all_ids = bpe.encode_batch(batch.column(1).to_pylist())
+                counts = [ids.count(" ") + 1 if ids else 0 for ids in all_ids]
+                columns = [
+                    batch.column(0), pa.array(counts, pa.int64()), pa.array([sha256(ids.encode()).hexdigest() for ids in all_ids], pa.string()),
+                    pa.array([sha256(bpe.decode(ids).encode()).hexdigest() for ids in all_ids], pa.string()),
+                ]
                 if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+                    flat = np.array(" ".join(filter(None, all_ids)).split(), dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         bpe.forget()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
