@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Documents encoded together: what they need at once stays small beside the caches.
 ROWS = 128
 #: Fragments of more bytes than this are encoded one by one.
