@@ -126,10 +126,12 @@ def block_number(dealt: Plan):
 
 
 def later_copies(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame:
-    """(block, doc_id) of documents whose whole text a document of a smaller id has: digests are grouped, texts stay where they are."""
+    """(block, doc_id, head of the text's SHA-256) of rows whose whole text a document of a smaller id has: digests are grouped, texts stay where they are.
+
+    The head tells rows that share an id apart."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")).filter("doc_id IS NOT NULL")
     first = d.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("digest", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    return d.join(first, ["digest", "salt"]).filter("doc_id > low").select(block_number(dealt)("doc_id").alias("block"), "doc_id")
+    return d.join(first, ["digest", "salt"]).filter("doc_id > low").select(block_number(dealt)("doc_id").alias("block"), "doc_id", F.unhex(F.substring("digest", 1, 16)).alias("head")).distinct()
 
 
 def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:

@@ -37,7 +37,7 @@ LENGTH = 50
 PERIOD, COVER = 13, np.array([0, 1, 3, 9])
 #: Low bits left out of the sample's keys: they only prune.
 SAMPLE_DROP = 24
-#: Notes of a block to itself: runs of suffixes that are not settled, and ids of whole copies.
+#: Notes of a block to itself: runs of suffixes that are not settled, and ids, then heads of digests, of whole copies.
 LIVE, COPIES = 1, 2
 
 
@@ -112,13 +112,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
     def blanked(texts: Texts, copies: bytes) -> Texts:
         """Without the texts of whole copies."""
-        gone = set(np.frombuffer(copies, np.int64).tolist())
-        return replace(texts, data=[b"" if i in gone else d for i, d in zip(texts.ids, texts.data)])
+        n = len(copies) // 16
+        gone = set(zip(np.frombuffer(copies, np.int64, n).tolist(), (copies[k : k + 8] for k in range(8 * n, 16 * n, 8))))
+        ids = {i for i, _ in gone}
+        return replace(texts, data=[b"" if i in ids and (i, sha256(d).digest()[:8]) in gone else d for i, d in zip(texts.ids, texts.data)])
 
     def send_sample(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or left.column("block")[0].as_py() < 0:
             return blocks.to_table([])
-        copies = np.unique(right.column("doc_id").to_numpy()).astype(np.int64).tobytes()
+        copies = right.column("doc_id").to_numpy().astype(np.int64).tobytes() + b"".join(right.column("head").to_pylist())
         texts = blanked(Texts.of(left), copies)
         note = (texts.block, texts.block % (1 << bits), 0, COPIES, copies)
         return blocks.to_table([note, *blocks.cells(texts.block, blocks.distinct(sample(texts, depth)[0]) << U(SAMPLE_DROP), bits, SAMPLE_DROP)])

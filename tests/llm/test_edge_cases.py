@@ -150,3 +150,12 @@ def test_pipeline_stages(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         e = stage(spark, e, str(tmp_path))
         assert e.count() == 0
+
+
+def test_suffix_dedup_blanks_rows_not_ids(spark):
+    a, b = "a text that two rows have, long enough to count as a repeat of fifty bytes", "only one row has this text, and it shares its id with a copy of the other"
+    data = [(1, a), (2, a), (2, b), (3, ""), (4, None), (4, b[::-1]), (5, b)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for block_bytes in (4 << 20, 80):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs, block_bytes=block_bytes).collect())
+        assert got == sorted([(1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (3, 0, 0), (4, 0, 0), (4, len(b), 0), (5, len(b), len(b))])
