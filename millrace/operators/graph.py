@@ -68,13 +68,20 @@ def success_states(steps: DataFrame, reward: str = "reward", threshold: float =
     return g.filter(F.col("r") > threshold).select("uid", "traj_uid", F.transform("s", lambda x: x["anchor_obs"]).alias("states"), "last")
 
 
-def simple_paths(e: DataFrame, source: str, target: str, depth: int = 6) -> DataFrame:
-    """All paths without a repeated state, up to a depth that the caller names (their number grows exponentially)."""
+def simple_paths(e: DataFrame, source: str, target: str, depth: int | None = None) -> DataFrame:
+    """All paths without a repeated state; their number grows exponentially with the states, so a caller may name a depth."""
     n = neighbours(e)
-    walk = n.filter(F.col("u") == source).select("uid", F.array("u", "v").alias("path"), F.col("v").alias("at"))
+    n = n if depth else cut(n)
+    walk = n.filter((F.col("u") == source) & (F.col("v") != source)).select("uid", F.array("u", "v").alias("path"), F.col("v").alias("at"))
     found = walk.filter(F.col("at") == target)
-    for _ in range(depth - 1):
+    length = 1
+    while length != depth:
         walk = walk.filter(F.col("at") != target).join(n.select("uid", F.col("u").alias("at"), "v"), ["uid", "at"]).filter(~F.array_contains("path", F.col("v"))).select("uid", F.concat("path", F.array("v")).alias("path"), F.col("v").alias("at"))
+        if depth is None:
+            walk = cut(walk)
+            if walk.isEmpty():
+                break
+        length += 1
         found = found.unionByName(walk.filter(F.col("at") == target))
     return found.select("uid", "path")
 
