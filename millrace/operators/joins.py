@@ -32,23 +32,29 @@ def dedup_first(df: DataFrame, order: str, *keys: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
 
 
-def greedy_dedup(df: DataFrame, order: str, first: str, second: str, max_rounds: int = 30) -> DataFrame:
+def greedy_dedup(df: DataFrame, order: str, first: str, second: str) -> DataFrame:
     """In order, accepts a row if neither of its keys was seen on an accepted row.
 
     Rounds: an undecided row is accepted if it is the first undecided one for both its keys, and rejected if an
-    accepted row shares a key; each round decides at least the first row of each connected set, without gathering any."""
-    undecided, accepted = df, None
-    for _ in range(max_rounds):
-        w1, w2 = Window.partitionBy(first), Window.partitionBy(second)
-        marked = undecided.withColumn("_a", F.min(order).over(w1) == F.col(order)).withColumn("_b", F.min(order).over(w2) == F.col(order))
+    accepted row shares a key; each round decides at least the first row of each connected set, without gathering any.
+    Rounds go on until nothing is undecided; a row without one of the keys is compared by the other only."""
+    undecided, accepted, rounds = df, None, 0
+    while True:
         from millrace.operators.state import cut
 
-        new = cut(marked.filter("_a AND _b").drop("_a", "_b"))
+        ahead = [F.min(order).over(Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(order)))) == F.col(order) for key in (first, second)]
+        marked = cut(undecided.withColumn("_a", ahead[0]).withColumn("_b", ahead[1]))
+        new = marked.filter("_a AND _b").drop("_a", "_b")
         accepted = new if accepted is None else accepted.unionByName(new)
-        undecided = cut(undecided.join(new.select(first), first, "left_anti").join(new.select(second), second, "left_anti"))
+        undecided = marked.filter("NOT (_a AND _b)").drop("_a", "_b")
+        for key in (first, second):
+            undecided = undecided.join(new.select(key).distinct(), key, "left_anti").select(df.columns)
+        undecided = cut(undecided)
         if undecided.isEmpty():
-            break
-    return accepted
+            return accepted
+        rounds += 1
+        if rounds % 20 == 0:
+            accepted = cut(accepted)
 
 
 def pairs_within(df: DataFrame, key: str, order: str) -> DataFrame:
