@@ -30,22 +30,27 @@ def parallel_edges(e: DataFrame) -> DataFrame:
     return e.withColumn("slot", slot).join(back, ["uid", "u", "v"], "left").withColumn("has_reverse", F.coalesce("_b", F.lit(False))).drop("_b")
 
 
-def distances_to(e: DataFrame, target: str = SUCCESS, weight: str | None = None, max_rounds: int = 50) -> DataFrame:
+def distances_to(e: DataFrame, target: str = SUCCESS, weight: str | None = None) -> DataFrame:
     """(uid, state, d): least distance to the target per group; unreachable states get the largest finite one plus 1.
 
-    Relaxation over distinct edges (the lightest of parallel ones); a frontier of improved states is joined each round."""
+    Relaxation over distinct edges (the lightest of parallel ones); a frontier of improved states is joined each round,
+    until no state improves. Weights that go round in a negative cycle raise an error."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     best = cut(e.groupBy("uid", "u", "v").agg(F.min(w).alias("w")))
     states = best.select("uid", F.col("u").alias("state")).union(best.select("uid", F.col("v").alias("state"))).distinct()
     d = cut(best.select("uid").distinct().select("uid", F.lit(target).alias("state"), F.lit(0.0).alias("d")))
     frontier = d
-    for _ in range(max_rounds):
+    rounds, bound = 0, None if weight is None else states.count()
+    while True:
         step = best.join(frontier.select("uid", F.col("state").alias("v"), "d"), ["uid", "v"]).groupBy("uid", F.col("u").alias("state")).agg(F.min(F.col("w") + F.col("d")).alias("d"))
         better = cut(step.join(d.withColumnRenamed("d", "_d"), ["uid", "state"], "left").filter("_d IS NULL OR d < _d").select("uid", "state", "d"))
         if better.isEmpty():
             break
         d = cut(d.join(better, ["uid", "state"], "left_anti").unionByName(better))
         frontier = better
+        rounds += 1
+        if bound is not None and rounds > bound:
+            raise ValueError("a negative cycle: distances have no least value")
     far = F.max("d").over(Window.partitionBy("uid")) + 1
     return states.join(d, ["uid", "state"], "left").select("uid", "state", F.coalesce("d", far).alias("d"))
 
