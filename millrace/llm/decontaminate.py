@@ -1,19 +1,23 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows of items, exact edit verification.
 
 The CGK walk reads a string with a pointer; at each step it writes the character under the pointer and moves on or
 not by a random bit that depends on step and character. Strings at a small edit distance mostly fall in step again,
-so their walks agree in most places: edit distance becomes Hamming distance. Windows start at the words of an item
-and at every second word of a document, so one of each two windows of a copied passage starts in step with the
-item's. Each repetition keys a window by sampled places of its walk; equal keys are candidates. These are pruned by
-the Hamming agreement of the whole, item-sized walk, and what is left is verified by the exact edit distance of the
-item to the best stretch of the document (bit-parallel, on whole integers). The number of repetitions follows from
-the recall wanted at a rate of edits.
+so their walks agree in most places: edit distance becomes Hamming distance. Windows start at every word of items and
+of documents, and at every character of runs without a space, so each window of a copied passage has its fellow.
+Each repetition keys a window by sampled places of its walk; equal keys are candidates. The number of repetitions
+follows from the recall wanted at the rate of edits that verification accepts and from the windows that the poorest
+item has. Candidates are pruned by a bound that loses nothing: the least distances of an item's pieces of up to 64
+characters near their places add up to no more than the item's (all candidates at once, a machine word each). What is
+left is verified by the exact edit distance of the item to the best stretch of the document (on whole integers).
+
+Items of under ``MIN_WINDOWS`` windows are searched for exactly: cut into one piece more than the edits they may
+have, one piece stands unchanged in every copy; its places are verified.
 
 Items are gathered in parts of at most ``PART_BYTES``; a larger benchmark is matched part by part, so what
 executors hold is bounded. Documents are read in one narrow pass per part: no shuffle, no pairs between documents.
 
-Cases: null or empty texts match nothing; items shorter than ``MIN_CHARS`` are not searched for; case and runs of
-white space are ignored; repeated items are each reported; rows without an id are reported with a null id.
+Cases: null or empty texts match nothing; case and runs of white space are ignored; repeated items are each
+reported; rows without an id are reported with a null id.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY, RECALL, EDIT_RATE = 0.8, 0.95, 0.08
-MIN_CHARS, STRIDE, SEED = 40, 2, 9
-KEY_STEPS, KEY_PLACES, WALK, AGREE = 32, 20, 160, 0.3
+from millrace.llm import blocks
+
+SIMILARITY, RECALL = 0.8, 0.95
+MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
+KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
 PART_BYTES = 32 << 20
 BATCH_BYTES = 1 << 18
 U = np.uint64
@@ -66,15 +72,26 @@ def best_distance(pattern: str, text: str, limit: int) -> tuple[int, int]:
     return best, where
 
 
-def repetitions(shortest: int, rate: float = EDIT_RATE, recall: float = RECALL) -> int:
-    """Repetitions so that a passage as long as the shortest item is found at this rate of edits.
+def repetitions(windows: int, rate: float = 1 - SIMILARITY, recall: float = RECALL) -> int:
+    """Repetitions so that a passage of this many windows is found at this rate of edits.
 
-    A walk of KEY_STEPS reads about half as many characters; a window is in step if none of them is edited, and
-    the windows of a passage are about one for STRIDE words of six characters. Repetitions share the characters,
-    but differ in how far they read and what they sample, so each counts half."""
+    A walk of KEY_STEPS reads about half as many characters; a window is in step if none of them is edited.
+    Repetitions share the characters, but differ in how far they read and what they sample, so each counts half."""
     one = (1 - rate) ** (KEY_STEPS / 2)
-    windows = max(1.0, shortest / (6 * STRIDE))
-    return max(1, min(8, math.ceil(math.log(1 - recall) / (0.5 * windows * math.log(1 - one)))))
+    return max(1, math.ceil(math.log(1 - recall) / (0.5 * windows * math.log(1 - one))))
+
+
+def window_starts(buf: np.ndarray) -> np.ndarray:
+    """Starts of words, and of all characters in runs of over LONG_RUN bytes without a space; ``buf`` ends with zeros."""
+    apart = (buf == 32) | (buf == 0)
+    starts = np.flatnonzero(np.append(True, apart[:-1]) & ~apart)
+    gaps = np.flatnonzero(apart)
+    size = gaps[np.searchsorted(gaps, starts)] - starts
+    long = size > LONG_RUN
+    if not long.any():
+        return starts
+    inner = blocks.ranges(starts[long] + 1, size[long] - 1)
+    return np.sort(np.concatenate([starts, inner[(buf[inner] & 0xC0) != 0x80]]))
 
 
 @dataclass
@@ -85,55 +102,90 @@ class Benchmark:
     texts: list[str]
     moves: np.ndarray
     places: np.ndarray
+    bits: int
     keys: list[np.ndarray]
     owners: list[np.ndarray]
+    #: Which leading bits of keys exist after half of the steps and after all, packed.
+    half: list[np.ndarray]
+    full: list[np.ndarray]
+    #: Offsets of windows in characters.
     offsets: np.ndarray
     item_of: np.ndarray
-    walks: np.ndarray
+    #: Per item: first of its pieces, and edits it may have. Per piece: offset, size, and places of each low byte of a character.
+    first_piece: np.ndarray
+    limits: np.ndarray
+    piece_at: np.ndarray
+    piece_size: np.ndarray
+    piece_bits: np.ndarray
+    #: Pieces of items that are searched for exactly, by length: piece to (item, offset).
+    pieces: dict[int, dict[str, list[tuple[int, int]]]]
 
     @staticmethod
-    def build(rows: list[tuple], rate: float = EDIT_RATE, recall: float = RECALL) -> Benchmark | None:
+    def build(rows: list[tuple], rate: float = 1 - SIMILARITY, recall: float = RECALL) -> Benchmark | None:
         rows = [(i, normal(t)) for i, t in rows]
-        rows = [(i, t) for i, t in rows if len(t) >= MIN_CHARS]
+        rows = [(i, t) for i, t in rows if t]
         if not rows:
             return None
-        rng = np.random.default_rng(SEED)
-        reps = repetitions(min(len(t) for _, t in rows), rate, recall)
-        moves = rng.integers(0, 2, (reps + 1, max(KEY_STEPS, WALK), 256)).astype(np.int64)
-        places = np.array([np.isin(np.arange(KEY_STEPS), rng.choice(KEY_STEPS, KEY_PLACES, replace=False)) for _ in range(reps)])
         data = [t.encode() for _, t in rows]
-        buf = np.frombuffer(b"\0".join(data) + b"\0" * (WALK + 1), np.uint8)
+        buf = np.frombuffer(b"\0".join(data) + b"\0" * (KEY_STEPS + 1), np.uint8)
         first = np.cumsum([0] + [len(d) + 1 for d in data])
-        starts = np.flatnonzero(np.append(True, (buf[:-1] == 32) | (buf[:-1] == 0)) & (buf != 0) & (buf != 32))
+        starts = window_starts(buf)
         item = np.searchsorted(first, starts, side="right") - 1
         left = first[item] + np.array([len(d) for d in data])[item] - starts
-        keep = left >= min(MIN_CHARS, KEY_STEPS)
+        windows = np.bincount(item[left >= KEY_STEPS * 3 // 4], minlength=len(rows))
+        exact = windows < MIN_WINDOWS
+        keep = (left >= KEY_STEPS // 3) & ~exact[item]
         starts, item = starts[keep], item[keep]
-        b = Benchmark([i for i, _ in rows], [t for _, t in rows], moves, places, [], [], starts - first[item], item, np.zeros(0))
+        pieces: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for k in np.flatnonzero(exact).tolist():
+            t = rows[k][1]
+            n = int((1 - SIMILARITY) * len(t)) + 1
+            cuts = [len(t) * i // n for i in range(n + 1)]
+            for p, q in zip(cuts, cuts[1:]):
+                pieces.setdefault(q - p, {}).setdefault(t[p:q], []).append((k, p))
+        reps = repetitions(int(windows[~exact].min()), rate, recall) if len(starts) else 0
+        rng = np.random.default_rng(SEED)
+        moves = rng.integers(0, 2, (reps, KEY_STEPS, 256)).astype(np.int64)
+        places = np.array([np.isin(np.arange(KEY_STEPS), rng.choice(KEY_STEPS, KEY_PLACES, replace=False)) for _ in range(reps)])
+        bits = min(22, max(16, len(starts).bit_length() + 4))
+        place = np.cumsum((buf & 0xC0) != 0x80)
+        cut = [(k, p, t[p : p + PIECE]) for k, (_, t) in enumerate(rows) for p in range(0, len(t), PIECE)]
+        masks = np.zeros((len(cut), 256), np.uint64)
+        for k, (_, _, t) in enumerate(cut):
+            for at, c in enumerate(t):
+                masks[k, ord(c) & 255] |= U(1 << at)
+        first_piece = np.searchsorted([k for k, _, _ in cut], np.arange(len(rows) + 1))
+        limits = np.array([int((1 - SIMILARITY) * len(t)) for _, t in rows])
+        sizes = np.array([len(t) for _, _, t in cut])
+        b = Benchmark([i for i, _ in rows], [t for _, t in rows], moves, places, bits, [], [], [], [], place[starts] - place[first[item]], item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, pieces)
         for r in range(reps):
-            k = b.walk_keys(buf, starts, r)
+            _, early = b.walk_keys(buf, starts, r, KEY_STEPS // 2)
+            _, k = b.walk_keys(buf, starts, r, KEY_STEPS)
             order = np.argsort(k, kind="stable")
             b.keys.append(k[order])
             b.owners.append(order)
-        b.walks = b.walk(buf, starts)
+            b.half.append(b.packed(early))
+            b.full.append(b.packed(k))
         return b
 
-    def walk_keys(self, buf: np.ndarray, at: np.ndarray, rep: int) -> np.ndarray:
-        at, key = at.copy(), np.zeros(len(at), np.uint64)
-        for j in range(KEY_STEPS):
+    def packed(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << self.bits, bool)
+        out[(keys >> U(64 - self.bits)).astype(np.int64)] = True
+        return np.packbits(out)
+
+    def walk_keys(self, buf: np.ndarray, at: np.ndarray, rep: int, steps: int, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``at`` that are still walked, and their keys; with ``early``, half-way only those go on whose key it has."""
+        which, at, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
+        for j in range(steps):
+            if early is not None and j == KEY_STEPS // 2:
+                live = np.flatnonzero(early[(key >> U(64 - self.bits)).astype(np.int64)])
+                which, at, key = which[live], at[live], key[live]
             c = buf[at]
             if self.places[rep, j]:
                 key = (key ^ c) * U(0x9E3779B97F4A7C15)
                 key ^= key >> U(29)
             at += self.moves[rep, j][c]
-        return key
-
-    def walk(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        at, out = at.copy(), np.empty((len(at), WALK), np.uint8)
-        for j in range(WALK):
-            out[:, j] = c = buf[at]
-            at += self.moves[-1, j][c]
-        return out
+        return which, key
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text the (item, edits, start, end) found; texts are in normal form."""
@@ -149,61 +201,93 @@ class Benchmark:
         return out
 
     def _search(self, texts: list[str], data: list[bytes], i: int, j: int, out: list[list]) -> None:
-        buf = np.frombuffer(b"\0".join(data[i:j]) + b"\0" * (WALK + 1), np.uint8)
+        done: dict[tuple[int, int], list[int]] = {}
+        for length, table in self.pieces.items():
+            for d in range(i, j):
+                text = texts[d]
+                for p in range(len(text) - length + 1):
+                    if hit := table.get(text[p : p + length]):
+                        for item, offset in hit:
+                            self._verify(text, d, item, p - offset, done, out)
+        if not self.keys:
+            return
+        buf = np.frombuffer(b"\0".join(data[i:j]) + b"\0" * (KEY_STEPS + 1), np.uint8)
         first = np.cumsum([0] + [len(d) + 1 for d in data[i:j]])
-        starts = np.flatnonzero(np.append(True, (buf[:-1] == 32) | (buf[:-1] == 0)) & (buf != 0) & (buf != 32))
+        starts = window_starts(buf)
         doc = np.searchsorted(first, starts, side="right") - 1
-        head = np.searchsorted(starts, first[:-1])
-        keep = (np.arange(len(starts)) - head[doc]) % STRIDE == 0
-        starts, doc = starts[keep], doc[keep]
         whose, which = [], []
         for r, (keys, owners) in enumerate(zip(self.keys, self.owners)):
-            k = self.walk_keys(buf, starts, r)
-            maybe = np.flatnonzero(self._bitmap(r)[(k >> U(42)).astype(np.int64)])
+            half, full = self._maps(r)
+            walked, k = self.walk_keys(buf, starts, r, KEY_STEPS, half)
+            maybe = np.flatnonzero(full[(k >> U(64 - self.bits)).astype(np.int64)])
             a, b = np.searchsorted(keys, k[maybe]), np.searchsorted(keys, k[maybe], side="right")
             n = b - a
-            whose.append(np.repeat(maybe, n))
+            whose.append(np.repeat(walked[maybe], n))
             which.append(owners[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)])
-        pairs = np.unique(np.stack([np.concatenate(whose), np.concatenate(which)]), axis=1)
-        for part in np.array_split(pairs, max(1, pairs.shape[1] // 20_000), axis=1):
-            if not part.shape[1]:
-                continue
-            at, window = part
-            seen, back = np.unique(at, return_inverse=True)
-            same = self.walk(buf, starts[seen])[back] == self.walks[window]
-            valid = (self.walks[window] != 0).sum(1)
-            ok = (same & (self.walks[window] != 0)).sum(1) >= AGREE * valid
-            self._verify(texts, data, i, starts[at[ok]] - first[doc[at[ok]]], doc[at[ok]], window[ok], out)
-
-    def _verify(self, texts, data, i, offset, doc, window, out) -> None:
-        done: dict[tuple[int, int], list[int]] = {}
-        for o, d, w in zip(offset.tolist(), doc.tolist(), window.tolist()):
-            item = int(self.item_of[w])
-            pattern, text = self.texts[item], texts[i + d]
-            own = done.setdefault((d, item), [])
-            if any(f[0] == item for f in out[i + d]):
-                continue
-            begin = len(data[i + d][:o].decode(errors="ignore")) - len(pattern.encode()[: int(self.offsets[w])].decode(errors="ignore"))
-            slack = len(pattern) // 4 + 4
-            if any(abs(begin - x) < slack // 2 for x in own):
-                continue
-            own.append(begin)
-            limit = int((1 - SIMILARITY) * len(pattern))
-            low = max(0, begin - slack)
-            edits, end = best_distance(pattern, text[low : begin + len(pattern) + slack], limit)
-            if edits <= limit:
-                out[i + d].append((item, edits, max(0, low + end - len(pattern)), low + end))
-
-    def _bitmap(self, r: int) -> np.ndarray:
-        if "_maps" not in self.__dict__:
-            self._maps = {}
-        if r not in self._maps:
-            self._maps[r] = np.zeros(1 << 22, bool)
-            self._maps[r][(self.keys[r] >> U(42)).astype(np.int64)] = True
-        return self._maps[r]
+        place = np.cumsum((buf & 0xC0) != 0x80) - 1
+        at, window = np.concatenate(whose), np.concatenate(which)
+        item, begin = self.item_of[window], place[starts[at]] - self.offsets[window]
+        d, item, begin = np.unique(np.stack([doc[at], item, begin]), axis=1)
+        codes = np.frombuffer("\0".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint8)
+        for k in range(0, len(d), 4096):
+            part = slice(k, k + 4096)
+            ok = k + np.flatnonzero(self._may_hold(codes, item[part], begin[part]))
+            for x, y, z in zip(d[ok].tolist(), item[ok].tolist(), (begin[ok] - place[first[d[ok]]]).tolist()):
+                self._verify(texts[i + x], i + x, y, z, done, out)
+
+    def _may_hold(self, codes: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the least distances of an item's pieces, each near its place after ``begin``, add up to what the item may have.
+
+        Characters count as equal if their low bytes are, and a piece may end in a neighbour: both only lower the sum."""
+        total, limit = np.zeros(len(item), np.int64), self.limits[item]
+        live, step = np.arange(len(item)), 0
+        while len(live):
+            live = live[self.first_piece[item[live]] + step < self.first_piece[item[live] + 1]]
+            if not len(live):
+                break
+            piece, near = self.first_piece[item[live]] + step, limit[live]
+            size = self.piece_size[piece]
+            start, steps = begin[live] + self.piece_at[piece] - near, int((size + 2 * near).max())
+            bits, row, top = self.piece_bits.ravel(), piece * 256, (size - 1).astype(np.uint64)
+            pv, mv, score = np.full(len(live), ~U(0)), np.zeros(len(live), np.uint64), size.copy()
+            least = score.copy()
+            for j in range(steps):
+                eq = bits[row + codes[np.clip(start + j, 0, len(codes) - 1)]]
+                xv = eq | mv
+                xh = (((eq & pv) + pv) ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                score += ((ph >> top) & U(1)).astype(np.int64) - ((mh >> top) & U(1)).astype(np.int64)
+                ph, mh = ph << U(1), mh << U(1)
+                pv, mv = mh | ~(xv | ph), ph & xv
+                np.minimum(least, score, out=least)
+            total[live] += least
+            live, step = live[total[live] <= near], step + 1
+        return total <= limit
+
+    def _verify(self, text: str, d: int, item: int, begin: int, done: dict[tuple[int, int], list[int]], out: list[list]) -> None:
+        """Adds the item to what text ``d`` holds if a stretch about ``begin`` is within the edits allowed."""
+        own = done.setdefault((d, item), [])
+        if any(f[0] == item for f in out[d]):
+            return
+        pattern = self.texts[item]
+        slack, limit = len(pattern) // 4 + 4, int((1 - SIMILARITY) * len(pattern))
+        if any(abs(begin - x) <= slack - limit for x in own):
+            return
+        own.append(begin)
+        low = max(0, begin - slack)
+        stretch = text[low : max(0, begin + len(pattern) + slack)]
+        edits, end = best_distance(pattern, stretch, limit)
+        if edits <= limit:
+            out[d].append((item, edits, max(0, low + end - len(pattern)), low + end))
+
+    def _maps(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        cache = self.__dict__.setdefault("_unpacked", {})
+        if r not in cache:
+            cache[r] = tuple(np.unpackbits(x).astype(bool) for x in (self.half[r], self.full[r]))
+        return cache[r]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_maps"}
+        return {k: v for k, v in self.__dict__.items() if k != "_unpacked"}
 
 
 def benchmark_parts(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Benchmark]:
