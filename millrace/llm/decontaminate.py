@@ -228,10 +228,11 @@ class Benchmark:
         at, window = np.concatenate(whose), np.concatenate(which)
         item, begin = self.item_of[window], place[starts[at]] - self.offsets[window]
         d, item, begin = np.unique(np.stack([doc[at], item, begin]), axis=1)
-        codes = np.frombuffer("\0".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint8)
+        margin = PIECE + 2 * max(len(t) for t in self.texts)
+        codes = np.pad(np.frombuffer("\0".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint8), margin)
         for k in range(0, len(d), 4096):
             part = slice(k, k + 4096)
-            ok = k + np.flatnonzero(self._may_hold(codes, item[part], begin[part]))
+            ok = k + np.flatnonzero(self._may_hold(codes, item[part], begin[part] + margin))
             for x, y, z in zip(d[ok].tolist(), item[ok].tolist(), (begin[ok] - place[first[d[ok]]]).tolist()):
                 self._verify(texts[i + x], i + x, y, z, done, out)
 
@@ -252,7 +253,7 @@ class Benchmark:
             pv, mv, score = np.full(len(live), ~U(0)), np.zeros(len(live), np.uint64), size.copy()
             least = score.copy()
             for j in range(steps):
-                eq = bits[row + codes[np.clip(start + j, 0, len(codes) - 1)]]
+                eq = bits[row + codes[start + j]]
                 xv = eq | mv
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph, mh = mv | ~(xh | pv), pv & xh
