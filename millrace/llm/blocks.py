@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.slices import small_batches, tidy_group
+
 U = np.uint64
 BATCH_BYTES = 1 << 17
 #: Parts of a group of copies when their digests are joined.
@@ -136,7 +138,7 @@ def later_copies(docs: DataFrame, dealt: Plan, text: str, key: str) -> DataFrame
 
 def deal(docs: DataFrame, dealt: Plan, text: str, key: str, carry: Sequence[str] = ()) -> DataFrame:
     """(block int, doc_id long, text string), and the columns to carry as carry_0, carry_1, ... Rows without an id go to negative blocks: they are compared with nothing."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
     return rows.select(block_number(dealt)("doc_id").alias("block"), "*")
 
 
@@ -196,7 +198,7 @@ def exchange(sent: DataFrame, decide: Callable[[list[tuple[np.ndarray, bytes]]],
         bits = decide([unpack_sorted(r[4], r[2]) for r in ask]) if ask else []
         return to_table(notes + [(r[0], r[1], r[2], 0, np.packbits(b).tobytes()) for r, b in zip(ask, bits)])
 
-    return sent.groupBy("bucket").applyInArrow(answer, CELL)
+    return sent.groupBy("bucket").applyInArrow(tidy_group(answer), CELL)
 
 
 def replies(t: pa.Table) -> tuple[np.ndarray, dict[int, bytes]]:
@@ -219,7 +221,7 @@ class Texts:
 
     @staticmethod
     def of(t: pa.Table) -> Texts:
-        ids, data = t.column("doc_id").to_pylist(), [x.encode() for x in t.column("text").to_pylist()]
+        ids, data = t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, data[i]))
         ids, data = [ids[i] for i in order], [data[i] for i in order]
         ranks = np.cumsum([0] + [a != b for a, b in zip(ids, ids[1:])]) if ids else np.zeros(0, np.int64)

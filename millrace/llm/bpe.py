@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from millrace.llm.slices import slices, small_batches, tidy
+
 CACHE_ENTRIES = 200_000
-#: Documents encoded together: what they need at once stays small beside the caches.
-ROWS = 128
+#: Bytes of documents encoded together: what they need at once stays small beside the caches.
+SLICE = 1 << 18
 #: Fragments of more bytes than this are encoded one by one.
 LONG = 64
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves.
@@ -237,9 +239,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+        try:
+            for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
                 all_ids = bpe.encode_batch(batch.column(1).to_pylist())
                 counts = [ids.count(" ") + 1 if ids else 0 for ids in all_ids]
                 columns = [
@@ -250,6 +251,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text", key: str
                     flat = np.array(" ".join(filter(None, all_ids)).split(), dtype=np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        bpe.forget()
+        finally:
+            bpe.forget()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)

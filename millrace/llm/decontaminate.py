@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks
+from millrace.llm.slices import slices, small_batches, tidy
 
 SIMILARITY, RECALL = 0.8, 0.95
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
@@ -308,29 +309,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     """(doc_id, item_id, edits, start, end): items of which a document holds a copy within a fifth of edits.
 
     start and end are characters of the document in normal form."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], LEAK)
     for b in benchmark_parts(items):
 
         def run(batches: Iterator[pa.RecordBatch], b: Benchmark = b) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (s for b_ in batches for s in slices(b_, 1)):
                 ids = batch.column(0).to_pylist()
                 hits = b.search([normal(x) for x in batch.column(1).to_pylist()])
                 rows = [(ids[k], b.ids[item], *rest) for k, own in enumerate(hits) for item, *rest in own]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        found = found.unionByName(rows.mapInArrow(run, LEAK))
+        found = found.unionByName(rows.mapInArrow(tidy(run), LEAK))
     return found
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents without any leak, with their columns as they are: decided in place, without a join."""
+    small_batches(docs)
     for b in benchmark_parts(items):
 
         def run(batches: Iterator[pa.RecordBatch], b: Benchmark = b) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (s for b_ in batches for s in slices(b_, text)):
                 hits = b.search([normal(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.slices import slices, small_batches, tidy
+
 SAMPLE_PAGES, GENERATED, SEED = 200, 400, 5
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.3
 
@@ -383,7 +385,7 @@ def extract(model: Boosted, pages: list[str | None]) -> list[str]:
 
 def train_on(pages: DataFrame, rows: int = SAMPLE_PAGES) -> Boosted:
     """Trains on generated pages and on at most ``rows`` pages, chosen by a hash of their html."""
-    usable = pages.select("html", F.xxhash64("html").alias("h")).filter("html IS NOT NULL AND length(html) < 20000")
+    usable = pages.select("html", F.xxhash64("html").alias("h")).filter("html IS NOT NULL")
     lowest = usable.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h").alias("h")).first().h
     sample = usable.filter(F.col("h") <= lowest).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if lowest is not None else []
     return train([r.html for r in sample])
@@ -394,10 +396,9 @@ def extract_pages(pages: DataFrame, model: Boosted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
+            for b in slices(batch, 2):
                 texts = extract(model, b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

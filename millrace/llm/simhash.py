@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.durable import checkpoint, components
+from millrace.llm.durable import checkpoint, components, hot_keys, join_split
+from millrace.llm.slices import small_batches, tidy
 
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             values = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _segment(x: np.ndarray, i: int) -> np.ndarray:
@@ -192,8 +193,8 @@ def links(fps: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    filed = fps.select("fp").mapInArrow(file, "bucket long, fp long")
-    return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(link, "u long, v long").distinct()
+    filed = fps.select("fp").mapInArrow(tidy(file), "bucket long, fp long")
+    return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(link), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     each = checkpoint(fingerprints(docs, text, key, shingle, seed))
     fps = checkpoint(each.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(fps))
-    placed = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = checkpoint(fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(lowest, "root").select("fp", "component_id")
+    named = join_split(placed, lowest, "root", "fp", hot_keys(placed, "root")).select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

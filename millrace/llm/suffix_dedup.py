@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import blocks
 from millrace.llm.blocks import U, Texts
+from millrace.llm.slices import tidy_pair
 
 LENGTH = 50
 #: A difference cover modulo 13.
@@ -199,6 +200,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         return pa.table({c: own[c] if c in own else next(rest) for c in carry})
 
     copies = blocks.later_copies(docs, dealt, text, key)
-    ranks = blocks.exchange(rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(send_sample, blocks.CELL), tied)
-    repeats = blocks.exchange(rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(send_suffixes, blocks.CELL), earlier)
-    return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, schema)
+    ranks = blocks.exchange(rows.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(tidy_pair(send_sample), blocks.CELL), tied)
+    repeats = blocks.exchange(rows.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(tidy_pair(send_suffixes), blocks.CELL), earlier)
+    return rows.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(tidy_pair(cut), schema)

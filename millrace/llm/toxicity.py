@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.slices import small_batches, tidy
+
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.3
 #: Characters read as other letters, and characters that are not seen.
@@ -170,7 +172,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(x.as_py()) for x in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,4 +189,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
         for batch in batches:
             yield batch.filter(pa.array([lexicon.score(x.as_py()) < threshold for x in batch.column(batch.schema.get_field_index("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidy(run), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import blocks
 from millrace.llm.blocks import U, Texts
+from millrace.llm.slices import tidy_group, tidy_pair
 
 WORDS = 20
 SPACE = np.zeros(256, bool)
@@ -136,5 +137,5 @@ def remove_repeated_windows(docs: DataFrame, size: int = WORDS, text: str = "tex
             out.append((texts.ids[k], int(n_words[k]), int(n_words[k]) - len(words), sha256(kept).hexdigest()) + ((kept.decode(),) if with_text else ()))
         return blocks.to_table(out, arrow)
 
-    sent = rows.groupBy("block").applyInArrow(send, blocks.CELL)
-    return rows.groupBy("block").cogroup(blocks.exchange(sent, decide).groupBy("block")).applyInArrow(cut, schema)
+    sent = rows.groupBy("block").applyInArrow(tidy_group(send), blocks.CELL)
+    return rows.groupBy("block").cogroup(blocks.exchange(sent, decide).groupBy("block")).applyInArrow(tidy_pair(cut), schema)
