@@ -4,7 +4,8 @@ Folding lower-cases, turns look-alike letters and digits used as letters into pl
 one), drops invisible characters and turns punctuation into spaces. The lexicon holds stems at the start of a word,
 with the log-odds of documents that have them; a match inside an exception phrase does not count. A document's score
 is a logistic of its weighted matches, also per root of its length in words. Stems, exceptions and the two
-coefficients are learned from a bounded sample of labelled rows (``SAMPLE_ROWS``).
+coefficients are learned from a bounded sample of labelled rows (``SAMPLE_ROWS``): an exception is a stem's word with the
+next or the one before, if the pair stands in ``EXCEPTION_ROWS`` or more clean rows and in no toxic one.
 
 Cases: null and empty texts score as a text without matches; nulls among labels are ignored; without labels the
 score is 0 everywhere; repeated rows are scored one by one. Scoring is one narrow pass over whole texts.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm.slices import small_batches, tidy
 
 SAMPLE_ROWS = 8000
+EXCEPTION_ROWS = 2
 THRESHOLD = 0.3
 #: Characters read as other letters, and characters that are not seen.
 LOOKALIKES = {
@@ -35,7 +37,7 @@ LOOKALIKES = {
 }
 UNSEEN = "­​‌‍⁠﻿"
 PUNCTUATION = "!\"#%&'()*+,-./:;<=>?[\\]^_`{}~\t\n\r\x0b\x0c«»“”‘’…–—¡¿ "
-#: Phrases in which an insult's stem is something else.
+#: Phrases in which an insult's stem is something else, known without any label; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "stupidly simple", "loser bracket", "scumbag steve meme")
 
 
@@ -99,6 +101,21 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
 
 
+def learn_exceptions(rows: list[tuple[str, int]], stems: Iterable[str]) -> tuple[str, ...]:
+    """Pairs of words, one with a stem, that stand in clean rows only; rows are folded."""
+    heads = tuple(stems)
+    clean: Counter = Counter()
+    toxic: set[str] = set()
+    for folded, y in rows if heads else ():
+        words = folded.split()
+        pairs = {f"{words[k]} {words[k + 1]}" for i, w in enumerate(words) if w.startswith(heads) for k in (i - 1, i) if 0 <= k < len(words) - 1}
+        if y:
+            toxic |= pairs
+        else:
+            clean.update(pairs)
+    return tuple(sorted(p for p, n in clean.items() if n >= EXCEPTION_ROWS and p not in toxic))
+
+
 def learn(rows: Iterable[tuple[str | None, int]], min_docs: int = 6, max_stems: int = 200) -> Lexicon:
     """A lexicon from (text, label) rows: stems are chosen greedily by the toxic rows they newly explain."""
     rows = [(fold(t), int(y)) for t, y in rows]
@@ -138,7 +155,7 @@ def learn(rows: Iterable[tuple[str | None, int]], min_docs: int = 6, max_stems:
             break
         if pos[s] >= 4 * min_docs and neg[s] == 0 and not any(s.startswith(x) or x.startswith(s) for x in stems):
             stems[s] = math.log((pos[s] + 0.5) / (n_pos + 1)) - math.log(0.5 / (n_neg + 1))
-    lexicon = Lexicon(stems)
+    lexicon = Lexicon(stems, EXCEPTIONS + learn_exceptions(rows, stems))
     x = np.array([[1.0, *lexicon.features(folded)] for folded, _ in rows])
     y = np.array([label for _, label in rows], float)
     c = np.array([math.log(n_pos / n_neg), 0.1, 0.1])
