@@ -1,21 +1,28 @@
-"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy.
-
-Every token is predicted from the tokens on both sides. Words fall into ``CLASSES`` classes (by a hash of their
-ending and length, a fixed rule); the network maps embeddings of the left and right neighbour's classes through a
-hidden layer to a softmax over classes, and a word's probability inside its class comes from counts of hashed words.
-
-Both the windows (left class, class, right class) and the words are counted over all documents: tasks count in
-arrays of a fixed size and send what is not zero, Spark adds up, and the network is fitted to the complete table of
-windows, of at most CLASSES cubed rows, on the driver, deterministically. So training covers every token, at a cost
-on the driver that doesn't grow with the corpus. Scoring is one narrow pass; document scores are the sum and mean of
-the conditional log-probabilities.
-
-Cases: null and empty texts, and texts without words, have no tokens, a sum of 0 and a null mean; an empty corpus
-gives the untrained model; ends of a text are a class of their own; repeated rows count each time.
+"""LM scoring by masked pseudo-likelihood: a bidirectional window network in numpy, with the corpus as its evidence.
+
+Every word is predicted from the two words on each side. The network maps the four neighbours' embeddings through a
+hidden layer to a two-step softmax over words: first one of 65 classes, then a word of the class. Its vocabulary is the
+``VOCABULARY`` most frequent words, counted exactly over all documents; every other word is one of 64 kinds by its ending
+and length, shared evenly among the kind's distinct words. Training is one pass over all documents: each task masks a
+quarter of the positions of all of its texts and takes minibatch steps on them; the tasks' weights are averaged by the
+positions trained on (sums of chunks in groups of tasks, so only ``GROUPS`` partial sums come to the driver).
+
+The network is the prior. The evidence is the whole corpus: how often each window (left word, word, right word) and each
+pair of neighbours stands in *other* documents, p = (windows + PRIOR * network) / (pairs + PRIOR). These counts grow with
+the input. They are exchanged by blocks: a block of texts sends each distinct fingerprint once with its count, a bucket
+adds up and replies; the width of fingerprints follows the number of windows, so that about 2**-14 of them collide at any
+size. A document's own windows are left out, so a text that occurs once is judged by what others write, and one that
+occurs twice is known.
+
+Cases: null and empty texts, and texts without words, have no tokens, a sum of 0 and a null mean; an empty corpus gives
+the untrained network; ends of a text are a word of their own; repeated rows count each time, and each other; rows
+without an id are scored like any other. Rows that are the same in id and text are dealt to one block.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +33,24 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.blocks import U
+from millrace.llm.slices import slices, small_batches, tidy, tidy_group, tidy_pair
 from millrace.llm.window_dedup import _word_bounds
 
-CLASSES, EDGE = 48, 48
-BUCKETS = 1 << 17
-EMBED, HIDDEN, STEPS, SEED = 16, 32, 300, 4
-SMOOTHING = 0.5
+VOCABULARY, KINDS, SLOTS = 4096, 64, 64
+CLASSES = VOCABULARY // SLOTS + 1
+EDGE = VOCABULARY + KINDS
+EMBED, HIDDEN, BATCH, RATE, MASKED, SEED = 16, 32, 2048, 0.1, 0.25, 4
+PRIOR = 2.0
+CHUNKS, GROUPS = 16, 16
+BLOCK_BYTES, SPARE_BITS = 3 << 20, 14
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Fixed words of the hashes: the end of a text, and what tells pairs from windows.
+END_HASH, PAIR = U(0x5BD1E9955BD1E995), U(0xC2B2AE3D27D4EB4F)
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and class of each word of texts in order, and the number of words of each text."""
-    data = [(t or "").encode().translate(LOWER) for t in texts]
+def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and kind of each word of texts in order (A-Z lower-cased), and the number of words of each text."""
+    data = [d.translate(LOWER) for d in data]
     buf = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     start, end = _word_bounds(buf)
     offset = np.cumsum([0] + [len(d) + 1 for d in data])
@@ -45,148 +58,271 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashed = blocks.finish((sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64))
     back = np.maximum(end - 3, start)
     tail = blocks.finish((sums[end] - sums[back]) * up[back] + np.minimum(end - start, 9).astype(np.uint64))
-    return (hashed % U(BUCKETS)).astype(np.int64), (tail % U(CLASSES)).astype(np.int64), np.diff(np.searchsorted(start, offset))
+    return hashed, (tail % U(KINDS)).astype(np.int64), np.diff(np.searchsorted(start, offset))
 
 
-def neighbours(classes: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class to the left and to the right of each word; EDGE at the ends of a text."""
-    left, right = np.append(EDGE, classes[:-1])[: len(classes)], np.append(classes[1:], EDGE)[: len(classes)]
-    ends = np.cumsum(n_words)
-    full = n_words > 0
-    left[(ends - n_words)[full]] = EDGE
-    right[ends[full] - 1] = EDGE
-    return left, right
+def around(values: np.ndarray, n_words: np.ndarray, edge, reach: int = 2) -> list[np.ndarray]:
+    """Values 2 and 1 to the left and 1 and 2 to the right of each word (as many as ``reach``); ``edge`` beyond a text's ends."""
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    out = []
+    for shift in [*range(-reach, 0), *range(1, reach + 1)]:
+        at = np.arange(len(values)) + shift
+        inside = (at >= 0) & (at < len(values))
+        at = np.clip(at, 0, max(0, len(values) - 1))
+        inside &= doc[at] == doc if len(values) else inside
+        out.append(np.where(inside, values[at], edge) if len(values) else values)
+    return out
 
 
-def _batches(texts: list, limit: int = 1 << 20) -> Iterator[list]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+@dataclass
+class Vocabulary:
+    """Sorted hashes of the words kept and their numbers (0 the most frequent), and distinct other words of each kind."""
 
+    hashes: np.ndarray
+    numbers: np.ndarray
+    types: np.ndarray
 
-SIDE = CLASSES + 1
+    def numbered(self, hashed: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return VOCABULARY + kind
+        at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashed, self.numbers[at], VOCABULARY + kind)
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, key, n): windows (kind 0) and hashed words (kind 1) of all documents; tasks pre-aggregate in arrays."""
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """Exact counts of all words; to the driver come the VOCABULARY most frequent and KINDS numbers of distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, buckets = np.zeros(SIDE * SIDE * CLASSES, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for part in _batches(batch.column(0).to_pylist()):
-                word, cls, n = words(part)
-                left, right = neighbours(cls, n)
-                windows += np.bincount((left * SIDE + right) * CLASSES + cls, minlength=len(windows))
-                buckets += np.bincount(word, minlength=BUCKETS)
-        for kind, table in ((0, windows), (1, buckets)):
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[at])], names=["kind", "key", "n"])
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        for part in (s for b in batches for s in slices(b, 0, 4 << 20)):
+            hashed, kind, _ = words([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])
+            own, first, n = np.unique(hashed, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(n)], names=["word", "kind", "n"])
+
+    counts = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(tidy(run), "word long, kind int, n long").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    own = top.column("word").to_numpy().view(np.uint64)
+    types = np.zeros(KINDS)
+    for r in counts.groupBy("kind").count().collect():
+        types[r["kind"]] = r["count"]
+    types -= np.bincount(top.column("kind").to_numpy(), minlength=KINDS)
+    order = np.argsort(own)
+    return Vocabulary(own[order], order.astype(np.int64), np.maximum(1, types))
 
 
-@dataclass
 class WindowNetwork:
-    left: np.ndarray
-    right: np.ndarray
-    hidden: np.ndarray
-    out: np.ndarray
+    """Weights as float32 arrays; ``flat`` joins them for averaging."""
 
-    @staticmethod
-    def start(seed: int = SEED) -> WindowNetwork:
+    SHAPES = {"embed": (EDGE + 1, EMBED), "hidden": (4 * EMBED + 1, HIDDEN), "classes": (HIDDEN + 1, CLASSES), "inside": (CLASSES, HIDDEN + 1, SLOTS)}
+
+    def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.standard_normal(shape) * 0.2
-        return WindowNetwork(draw(SIDE, EMBED), draw(SIDE, EMBED), draw(2 * EMBED + 1, HIDDEN), draw(HIDDEN + 1, CLASSES))
-
-    def table(self) -> np.ndarray:
-        """log p(class | left, right) for all pairs of neighbours: SIDE * SIDE rows, small by construction."""
-        return self._forward(*np.divmod(np.arange(SIDE * SIDE), SIDE))[0]
-
-    def _forward(self, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
-        one = np.ones((len(l), 1))
-        x = np.hstack([self.left[l], self.right[r], one])
-        h = np.hstack([np.tanh(x @ self.hidden), one])
-        z = h @ self.out
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True)), h, x
-
-    def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = 0.03) -> list[float]:
-        """Full-batch Adam on the table of windows, shape (SIDE * SIDE, CLASSES); returns the losses."""
-        total = windows.sum()
-        if not total:
-            return []
-        l, r = np.divmod(np.arange(SIDE * SIDE), SIDE)  # noqa: E741
-        weight = windows / total
-        mass = weight.sum(1, keepdims=True)
-        names = ("left", "right", "hidden", "out")
-        first, second = ({n: np.zeros_like(getattr(self, n)) for n in names} for _ in range(2))
-        losses = []
-        for t in range(1, steps + 1):
-            logp, h, x = self._forward(l, r)
-            losses.append(float(-(weight * logp).sum()))
-            dz = mass * np.exp(logp) - weight
-            dh = (dz @ self.out.T)[:, :-1] * (1 - h[:, :-1] ** 2)
-            dx = dh @ self.hidden.T
-            g = {"out": h.T @ dz, "hidden": x.T @ dh, "left": dx[:, :EMBED].reshape(SIDE, SIDE, EMBED).sum(1), "right": dx[:, EMBED : 2 * EMBED].reshape(SIDE, SIDE, EMBED).sum(0)}
-            for n in names:
-                first[n] = 0.9 * first[n] + 0.1 * g[n]
-                second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
-                getattr(self, n)[...] -= rate * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.99**t)) + 1e-8)
-        return losses
+        for name, shape in self.SHAPES.items():
+            setattr(self, name, (rng.standard_normal(shape) * (0.3 if name == "hidden" else 0.1)).astype(np.float32))
+        self.seen = {name: np.full(shape, 0.01, np.float32) for name, shape in self.SHAPES.items()}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, name).ravel() for name in self.SHAPES])
+
+    def load(self, flat: np.ndarray) -> WindowNetwork:
+        at = 0
+        for name, shape in self.SHAPES.items():
+            n = math.prod(shape)
+            setattr(self, name, flat[at : at + n].reshape(shape).astype(np.float32))
+            at += n
+        return self
+
+    @staticmethod
+    def _log_softmax(z: np.ndarray) -> np.ndarray:
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    def _hidden(self, context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        one = np.ones((len(context[0]), 1), np.float32)
+        x = np.hstack([*(self.embed[c] for c in context), one])
+        return x, np.hstack([np.tanh(x @ self.hidden), one])
+
+    def log_probability(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        """log p(word | two words at each side); words are numbers."""
+        out = np.zeros(len(word))
+        for at in range(0, len(word), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            _, h = self._hidden([c[part] for c in context])
+            cls, slot = np.divmod(word[part], SLOTS)
+            own = self._log_softmax(h @ self.classes)[np.arange(len(cls)), cls].astype(float)
+            for rows in self._by_class(cls):
+                c = cls[rows[0]]
+                own[rows] += self._log_softmax(h[rows] @ self.inside[c])[np.arange(len(rows)), slot[rows]]
+            out[part] = own
+        return out
+
+    @staticmethod
+    def _by_class(cls: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(cls, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(cls[order])) + 1) if len(cls) else []
+
+    def step(self, context: list[np.ndarray], word: np.ndarray) -> float:
+        """One step of AdaGrad on a minibatch; returns the mean loss before it."""
+        n = np.float32(len(word))
+        x, h = self._hidden(context)
+        cls, slot = np.divmod(word, SLOTS)
+        logp = self._log_softmax(h @ self.classes)
+        loss = -float(logp[np.arange(len(cls)), cls].sum())
+        dz = np.exp(logp)
+        dz[np.arange(len(cls)), cls] -= 1
+        grads = {"classes": h.T @ dz / n}
+        dh = dz @ self.classes.T
+        touched, inside = [], []
+        for rows in self._by_class(cls):
+            c = int(cls[rows[0]])
+            logp = self._log_softmax(h[rows] @ self.inside[c])
+            loss -= float(logp[np.arange(len(rows)), slot[rows]].sum())
+            dz = np.exp(logp)
+            dz[np.arange(len(rows)), slot[rows]] -= 1
+            dh[rows] += dz @ self.inside[c].T
+            touched.append(c)
+            inside.append(h[rows].T @ dz / n)
+        dh = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+        grads["hidden"] = x.T @ dh / n
+        dx = (dh @ self.hidden.T)[:, :-1] / n
+        used, place = np.unique(np.concatenate(context), return_inverse=True)
+        embed = np.zeros((len(used), EMBED), np.float32)
+        np.add.at(embed, place, np.concatenate([dx[:, k * EMBED : (k + 1) * EMBED] for k in range(4)]))
+        for name, rows, g in [("classes", slice(None), grads["classes"]), ("hidden", slice(None), grads["hidden"]), ("embed", used, embed), *(("inside", c, g) for c, g in zip(touched, inside))]:
+            self.seen[name][rows] += g * g
+            getattr(self, name)[rows] -= RATE * g / np.sqrt(self.seen[name][rows])
+        return loss / float(n)
+
+    def train_on(self, numbers: np.ndarray, n_words: np.ndarray) -> int:
+        """Steps on a quarter of the positions of texts, drawn at random; returns how many."""
+        rng = np.random.default_rng([SEED, len(numbers)])
+        masked = rng.permutation(np.flatnonzero(rng.random(len(numbers)) < MASKED))
+        context = around(numbers, n_words, EDGE)
+        for at in range(0, len(masked), BATCH):
+            part = masked[at : at + BATCH]
+            self.step([c[part] for c in context], numbers[part])
+        return len(masked)
 
 
 @dataclass
-class Scorer:
-    pairs: np.ndarray
-    inside: np.ndarray
-    base: np.ndarray
+class Model:
+    vocabulary: Vocabulary
+    network: WindowNetwork
+
+    def prior(self, hashed: np.ndarray, kind: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """The network's log-probability of each word."""
+        numbers = self.vocabulary.numbered(hashed, kind)
+        own = self.network.log_probability(around(numbers, n_words, EDGE), numbers)
+        return own - np.where(numbers >= VOCABULARY, np.log(self.vocabulary.types)[kind], 0.0)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of tokens and summed conditional log-probability of each text."""
-        word, cls, n = words(texts)
-        left, right = neighbours(cls, n)
-        logp = self.pairs[left * SIDE + right, cls] + self.inside[word] - self.base[cls]
-        sums = np.append(0, np.cumsum(logp))
+        """Number of words and summed log-probability of each text by the network alone."""
+        hashed, kind, n = words([(t or "").encode() for t in texts])
+        sums = np.append(0, np.cumsum(self.prior(hashed, kind, n)))
         ends = np.cumsum(n)
         return n, sums[ends] - sums[ends - n]
 
 
-def train(docs: DataFrame, text: str = "text") -> Scorer:
-    """Counts the corpus and fits the network; to the driver come at most SIDE**2 * CLASSES + BUCKETS counts."""
-    table = count(docs, text).toPandas()
-    windows, buckets = np.zeros(SIDE * SIDE * CLASSES), np.zeros(BUCKETS)
-    for kind, into in ((0, windows), (1, buckets)):
-        own = table[table["kind"] == kind]
-        into[own["key"].to_numpy()] = own["n"].to_numpy()
-    windows = windows.reshape(SIDE * SIDE, CLASSES)
-    network = WindowNetwork.start()
-    network.fit(windows)
-    # p(word | class): a hashed word's count over its class's, smoothed by one SMOOTHING for each bucket
-    inside = np.log(buckets + SMOOTHING)
-    base = np.log(windows.sum(0) + SMOOTHING * BUCKETS)
-    return Scorer(network.table(), inside, base)
-
-
-def score(docs: DataFrame, scorer: Scorer, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+def train(docs: DataFrame, text: str = "text") -> Model:
+    """One pass that counts words and one that trains, over all documents."""
+    kept = vocabulary(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for part in _batches(batch.column(1).to_pylist()):
-                n, s = shared.value.score(part)
-                counts.append(n)
-                sums.append(s)
-            n, s = np.concatenate(counts), np.concatenate(sums)
-            mean = pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.float64()), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+        network, n = WindowNetwork(), 0
+        for part in (s for b in batches for s in slices(b, 0)):
+            hashed, kind, n_words = words([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])
+            n += network.train_on(kept.numbered(hashed, kind), n_words)
+        if n:
+            group = int(np.random.default_rng(n).integers(GROUPS))
+            chunks = np.array_split(network.flat() * np.float32(n), CHUNKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([group] * CHUNKS, pa.int32()), pa.array([float(n)] * CHUNKS), pa.array([c.astype("<f4").tobytes() for c in chunks])], names=["chunk", "part", "n", "data"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(d.as_py(), "<f4").astype(float) for d in t.column("data"))
+        n = float(np.sum(t.column("n").to_numpy()))
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "part": t.column("part").slice(0, 1), "n": pa.array([n]), "data": pa.array([total.astype("<f8").tobytes()])})
+
+    schema = "chunk int, part int, n double, data binary"
+    sums = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(tidy(run), schema).groupBy("chunk", "part").applyInArrow(tidy_group(add), schema).collect()
+    network = WindowNetwork()
+    if sums:
+        own = [[r for r in sums if r.chunk == k] for k in range(CHUNKS)]
+        network.load(np.concatenate([sum(np.frombuffer(r.data, "<f8") for r in rows) / sum(r.n for r in rows) for rows in own]))
+    network.seen = {}
+    return Model(kept, network)
+
+
+def fingerprints(hashed: np.ndarray, n_words: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its pair of neighbours and its window, as fingerprints without ``drop`` low bits."""
+    left, right = around(hashed, n_words, END_HASH, 1)
+    pair = blocks.finish(left * U(0x9E3779B97F4A7C15) + (right ^ PAIR) * U(0xC4CEB9FE1A85EC53))
+    window = blocks.finish(pair + hashed * U(0xFF51AFD7ED558CCD))
+    return (pair >> U(drop)) << U(drop), (window >> U(drop)) << U(drop)
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Counts as Huffman-coded bytes; those of 255 and more follow in full."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    small = coder.compress(np.minimum(n, 255).astype(np.uint8).tobytes()) + coder.flush()
+    return len(small).to_bytes(4, "little") + small + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    n = np.frombuffer(zlib.decompress(data[4 : 4 + size], -15), np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(data[4 + size :], "<i8")
+    return n
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every document, the other documents being the evidence."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n_blocks = max(1, math.ceil(total / block_bytes))
+    items = max(1.0, 0.4 * total)
+    bits = max(5, math.ceil(math.log2(items / (1 << 20))))
+    drop = max(0, 64 - max(32, math.ceil(math.log2(items)) + SPARE_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = small_batches(docs).select(F.pmod(F.xxhash64(F.col(key), whole), F.lit(n_blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("doc_id"), whole.alias("text"))
+
+    def found(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        hashed, kind, n = words(t.column("text").cast(pa.binary()).to_pylist())
+        pair, window = fingerprints(hashed, n, drop)
+        return hashed, kind, n, pair, window
+
+    def send(t: pa.Table) -> pa.Table:
+        *_, pair, window = found(t)
+        values, n = np.unique(np.concatenate([pair, window]), return_counts=True)
+        cuts = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)).tolist() + [len(values)]
+        body = (values << U(bits)) >> U(bits + drop)
+        block = t.column("block")[0].as_py()
+        return blocks.to_table([(block, k, b - a, 0, blocks.pack_sorted(body[a:b]) + pack_counts(n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+
+    def add(t: pa.Table) -> pa.Table:
+        asked = sorted(zip(*(t.column(c).to_pylist() for c in ("block", "bucket", "n", "data"))))
+        parts = [(k, unpack_counts(rest)) for _, _, n, data in asked for k, rest in [blocks.unpack_sorted(data, n)]]
+        _, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        sums = np.bincount(group, np.concatenate([n for _, n in parts])).astype(np.int64)[group]
+        replies = np.split(sums, np.cumsum([len(k) for k, _ in parts])[:-1])
+        return blocks.to_table([(block, bucket, n, 0, pack_counts(own)) for (block, bucket, n, _), own in zip(asked, replies)])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c in names[:2] else pa.float64()) for c in names})
+        hashed, kind, n, pair, window = found(left)
+        replies = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
+        totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(d) for _, d in replies)])
+        _, place = np.unique(np.concatenate([pair, window]), return_inverse=True)
+        doc = np.tile(np.repeat(np.arange(len(n)), n), 2)
+        _, mine, own = np.unique(place.astype(np.int64) * (len(n) + 1) + doc, return_inverse=True, return_counts=True)
+        others = totals[place] - own[mine]
+        pairs, windows = np.split(others, 2)
+        prior = np.exp(np.maximum(shared.value.prior(hashed, kind, n), -60.0))
+        logp = np.log((windows + PRIOR * prior) / (pairs + PRIOR))
+        sums = np.append(0, np.cumsum(logp))
+        ends = np.cumsum(n)
+        s = sums[ends] - sums[ends - n]
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(s, pa.float64()), "mean_log_likelihood": pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)})
+
+    answers = rows.groupBy("block").applyInArrow(tidy_group(send), blocks.CELL).groupBy("bucket").applyInArrow(tidy_group(add), blocks.CELL)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(judge), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")

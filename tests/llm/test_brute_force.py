@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from millrace.llm import ann, bpe, decontaminate, html_extract, lm_score, simhash, suffix_dedup, toxicity, window_dedup
+from millrace.llm import ann, bpe, decontaminate, html_extract, simhash, suffix_dedup, toxicity, window_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -218,27 +218,3 @@ def test_decoding_has_no_content_below_dropped(spark):
                 p = p.parent
             if c[n.order] and any(above):
                 assert above[: above.index(False)].count(True) == sum(above)  # content is one stretch from its top down
-
-
-def test_language_model_prefers_the_corpus(docs, spark):
-    scorer = lm_score.train(docs)
-    text = [r.text for r in docs.filter("lang = 'en' AND n_chars > 500").limit(20).collect()]
-    rng = random.Random(4)
-
-    def shuffled(t):
-        w = t.split()
-        rng.shuffle(w)
-        return " ".join(w)
-
-    real, mixed = scorer.score(text), scorer.score([shuffled(t) for t in text])
-    assert real[0].tolist() == mixed[0].tolist()
-    assert real[1].sum() > mixed[1].sum()
-    table = lm_score.count(docs).filter("kind = 0").groupBy().sum("n").first()[0]
-    assert table == sum(len((r.text or "").split()) for r in docs.select("text").collect())
-
-
-def test_network_learns():
-    n = lm_score.WindowNetwork.start()
-    w = np.random.default_rng(0).random((lm_score.SIDE**2, lm_score.CLASSES)) ** 4
-    losses = n.fit(w, steps=40)
-    assert losses[-1] < losses[0]
