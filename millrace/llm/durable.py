@@ -38,7 +38,7 @@ def join_split(rows: DataFrame, one_per_key: DataFrame, key: str, spread: str, h
         return rows.join(one_per_key, key)
     is_hot = F.col(key).isin(hot)
     left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
-    right = one_per_key.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+    right = one_per_key.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     return left.join(right, [key, "_part"]).drop("_part")
 
 
