@@ -13,8 +13,8 @@ left is verified by the exact edit distance of the item to the best stretch of t
 Items of under ``MIN_WINDOWS`` windows are searched for exactly: cut into one piece more than the edits they may
 have, one piece stands unchanged in every copy; its places are verified.
 
-Items are gathered in parts of at most ``PART_BYTES``; a larger benchmark is matched part by part, so what
-executors hold is bounded. Documents are read in one narrow pass per part: no shuffle, no pairs between documents.
+Items are gathered in parts of at most ``PART_BYTES``, whose tables take some 60 times as much; a larger benchmark is
+matched part by part, so what executors hold is bounded. Documents are read in one narrow pass per part: no shuffle, no pairs between documents.
 
 Cases: null or empty texts match nothing; case and runs of white space are ignored; repeated items are each
 reported; rows without an id are reported with a null id.
@@ -37,7 +37,7 @@ from millrace.llm.slices import slices, small_batches, tidy
 SIMILARITY, RECALL = 0.8, 0.95
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
 KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
-PART_BYTES = 32 << 20
+PART_BYTES = 2 << 20
 BATCH_BYTES = 1 << 18
 U = np.uint64
 
@@ -228,7 +228,11 @@ class Benchmark:
         place = np.cumsum((buf & 0xC0) != 0x80) - 1
         at, window = np.concatenate(whose), np.concatenate(which)
         item, begin = self.item_of[window], place[starts[at]] - self.offsets[window]
-        d, item, begin = np.unique(np.stack([doc[at], item, begin]), axis=1)
+        if not len(item):
+            return
+        low, span, n_items = int(begin.min()), int(begin.max() - begin.min()) + 1, len(self.texts)
+        together, begin = np.divmod(np.unique((doc[at] * n_items + item) * span + begin - low), span)
+        (d, item), begin = np.divmod(together, n_items), begin + low
         margin = PIECE + 2 * max(len(t) for t in self.texts)
         codes = np.pad(np.frombuffer("\0".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint8), margin)
         for k in range(0, len(d), 4096):
