@@ -7,20 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import last_boxed
+
 #: Fixed values of final-answer normalisation, in the order they apply.
 ANSWER_REPLACEMENTS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
-ANSWER_REMOVALS = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "multiples", "\\text{s}", "\\text{.}", "\\text{}", "\\dots"]
+ANSWER_REMOVALS = [
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples",
+    "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
+]
+#: Fixed patterns: what is between dollars, then what is inside commands, then short forms of fractions and roots.
+ANSWER_PATTERNS = [
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(\\text\{)(.*?)(\})", "$2"), (r"(\\textbf\{)(.*?)(\})", "$2"), (r"(\\overline\{)(.*?)(\})", "$2"), (r"(\\boxed\{)(.*)(\})", "$2"), (r"(frac)([^{])(.)", r"frac{$2}{$3}"), (r"(sqrt)([^{])", r"sqrt{$2}"),
+]
 
 
 def final_answer(text: Column) -> Column:
-    """The part after the last "=", replacements and removals in order, plain thousands without commas."""
+    """The part after the last "=": replacements, removals and patterns in order, no dollars, plain thousands without commas."""
     x = F.element_at(F.split(text, "="), -1)
     for a, b in ANSWER_REPLACEMENTS:
         x = F.replace(x, F.lit(a), F.lit(b))
     for a in ANSWER_REMOVALS:
         x = F.replace(x, F.lit(a), F.lit(""))
+    for pattern, new in ANSWER_PATTERNS:
+        x = F.regexp_replace(x, pattern, new)
+    x = F.replace(x, F.lit("$"), F.lit(""))
     bare = F.replace(x, F.lit(","), F.lit(""))
-    return F.trim(F.when(bare.rlike(r"^\d+$"), bare).otherwise(x))
+    return F.regexp_replace(F.when(bare.rlike(r"^\d+$"), bare).otherwise(x), r"^\s+|\s+$", "")
+
+
+def minerva(text: Column, truth: Column) -> Column:
+    """{correct, pred}: the last answer line against the truth, both in final form."""
+    pred = final_answer(last_answer_line(text))
+    return F.struct((pred == final_answer(truth)).alias("correct"), pred.alias("pred"))
+
+
+def strict_box(text: Column, truth: Column, tail: int = 100) -> Column:
+    """{score, pred}: 1 if the last boxed part of the tail is the truth itself, else -1."""
+    pred = last_boxed(F.right(text, F.lit(tail)))
+    return F.struct(F.when(pred == truth, 1).otherwise(-1).alias("score"), pred.alias("pred"))
 
 
 def last_answer_line(text: Column) -> Column:
@@ -83,9 +107,29 @@ def apply_patch(content: Column, search: Column, replacement: Column) -> Column:
     return F.struct(F.when(error.isNull(), F.replace(content, search, replacement)).otherwise(content).alias("content"), error.alias("error"))
 
 
+def apply_edit(content: Column, action: Column) -> Column:
+    """{content, error} of an edit: patch a unique text, insert at the end on a line of its own, or else overwrite."""
+    now = F.coalesce(content, F.lit(""))
+    patched = apply_patch(now, F.coalesce(action["search"], F.lit("")), F.coalesce(action["replace"], F.lit("")))
+    extra, whole = F.coalesce(action["insert"], F.lit("")), F.coalesce(action["content"], F.lit(""))
+    joined = F.when((now == "") | now.endswith("\n"), F.concat(now, extra)).otherwise(F.concat(now, F.lit("\n"), extra))
+    empty = F.regexp_replace(extra, r"\s", "") == ""
+    inserted = F.struct(F.when(empty, now).otherwise(joined).alias("content"), F.when(empty, "empty insert").alias("error"))
+    nothing = (whole == "") & (now == "")
+    written = F.struct(whole.alias("content"), F.when(nothing, "empty content").alias("error"))
+    return F.when(action["mode"] == "patch", patched).when(action["mode"] == "insert", inserted).otherwise(written)
+
+
+#: Fixed values of preview classes.
+HARNESS = r"__main__|stdin|stdout|json\.loads|\binput\s*\(|\bprint\s*\(|from typing"
+BLOCK_SIZE = 8
+
+
 def preview_family(preview: Column, mean_size: Column) -> Column:
-    """Class of a code preview; the first rule that fits counts."""
-    return F.when(preview.rlike(r"(?i)\b(pass|todo|not ?implemented)\b"), "stub").when(preview.rlike(r"(?i)\b(import|input\(|sys\.stdin|main\()"), "harness").when(mean_size >= 5, "block").otherwise("fragment")
+    """Class of a code preview, read in one line; the first rule that fits counts."""
+    line = F.trim(F.regexp_replace(F.replace(F.coalesce(preview, F.lit("")), F.lit("\\n"), F.lit("\n")), r"\s+", " "))
+    stub = line.contains("return None") | line.isin("pass", "return", "...")
+    return F.when(stub, "stub").when(line.rlike(HARNESS), "harness").when(mean_size >= BLOCK_SIZE, "block").otherwise("fragment")
 
 
 def image_reference(name: Column, prefix: str = "docker.io/") -> Column:

@@ -88,9 +88,13 @@ def question_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), 256)
 
 
-def io_fingerprint(inputs: Column, outputs: Column, pairs: int = 3) -> Column:
-    """Hash of the first input-output pairs."""
-    return F.sha2(F.to_json(F.struct(F.slice(inputs, 1, pairs).alias("i"), F.slice(outputs, 1, pairs).alias("o"))), 256)
+def io_fingerprint(text: Column, pairs: int = 3) -> Column:
+    """Hash of the first input-output pairs of a JSON text, values as text; of its first 8,192 characters if it isn't JSON; null without pairs."""
+    io = F.from_json(text, "inputs array<string>, outputs array<string>")
+    n = F.least(F.lit(pairs), F.size(io["inputs"]), F.size(io["outputs"]))
+    blob = F.to_json(F.struct(F.slice(io["inputs"], 1, n).alias("i"), F.slice(io["outputs"], 1, n).alias("o")))
+    parsed = F.try_parse_json(text)
+    return F.when(parsed.isNull(), F.sha2(F.substring(text, 1, 8192), 256)).when(n > 0, F.sha2(blob, 256))
 
 
 def short_hash(text: Column, n: int = 10) -> Column:
@@ -114,9 +118,18 @@ def message_kind(message: Column) -> Column:
 
 
 def pytest_status(log: Column) -> Column:
-    """test -> status of a short summary's lines "STATUS test - reason"."""
-    lines = F.filter(F.split(log, "\n"), lambda x: x.rlike(r"^(PASSED|FAILED|ERROR) \S+"))
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\w+ (\S+)", 1), F.regexp_extract(x, r"^(\w+)", 1))))
+    """test -> status of the lines after "short test summary info": names after the file, joined by dots, without reasons; the last of equal names counts."""
+    part = F.element_at(F.split(log, "short test summary info"), 2)
+    lines = F.filter(F.split(F.when(log.contains("short test summary info"), part), "\n"), lambda x: x.rlike("PASSED|FAILED|ERROR"))
+
+    def entry(x: Column) -> Column:
+        status = F.when(x.contains("PASSED"), "PASSED").when(x.contains("FAILED"), "FAILED").otherwise("ERROR")
+        name = F.array_join(F.slice(F.split(x, "::"), 2, 1000), ".")
+        return F.struct(F.when(status == "PASSED", name).otherwise(F.element_at(F.split(name, " - "), 1)).alias("k"), status.alias("v"))
+
+    found = F.transform(lines, entry)
+    last = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda o: o["k"] == e["k"]))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
 def strip_ansi(text: Column) -> Column:

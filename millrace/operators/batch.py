@@ -11,12 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.state import cut
+
 RID = "row_id"
 
 
 def with_row_id(df: DataFrame, *order: str, name: str = RID) -> DataFrame:
-    """Dense 0-based numbers in the given order: one range exchange, then offsets by partition (one count each on the driver)."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Dense 0-based numbers in the given order: one range exchange, then offsets by partition (one count each on the driver).
+
+    The placement is written first: planned again for fewer columns, adaptive execution could merge partitions otherwise."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     counts = {r._p: r["count"] for r in placed.groupBy("_p").count().collect()}
     offset, at = F.lit(0), 0
     pairs = []

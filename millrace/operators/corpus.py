@@ -47,6 +47,14 @@ def sft_pairs(df: DataFrame, prompt: str, chosen: str, rejected: str) -> DataFra
     return df.select(prompt, F.explode(F.array(F.struct(F.lit("chosen").alias("kind"), F.col(chosen).alias("response")), F.struct(F.lit("rejected").alias("kind"), F.col(rejected).alias("response")))).alias("_p")).select(prompt, "_p.*")
 
 
+def preference_layout(chosen: Column, rejected: Column) -> Column:
+    """{ids, mask} of a pair of token arrays, stacked and padded with zeros to the longer."""
+    n = F.greatest(F.size(chosen), F.size(rejected))
+    padded = [F.concat(x, F.array_repeat(F.lit(0), n - F.size(x))) for x in (chosen, rejected)]
+    masks = [F.concat(F.array_repeat(F.lit(1), F.size(x)), F.array_repeat(F.lit(0), n - F.size(x))) for x in (chosen, rejected)]
+    return F.struct(F.array(*padded).alias("ids"), F.array(*masks).alias("mask"))
+
+
 def filter_predicates(df: DataFrame, predicates: dict[str, Column], enabled: Sequence[str]) -> DataFrame:
     """The enabled predicates, one after the other."""
     for name in enabled:

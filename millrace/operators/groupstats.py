@@ -84,14 +84,17 @@ def consecutive_rloo(df: DataFrame, score: str, n: int, row: str = "row_id") ->
     return df.withColumn("advantage", F.col(score) - others)
 
 
-def history_groups(df: DataFrame, ret: str = "reward", k: int = 3, alpha: float = 1.0, uid: str = "uid", traj: str = "traj_uid", step: str = "step", obs: str = "anchor_obs") -> DataFrame:
-    """Weighted mean of advantages in groups that share the last 1..k observations; groups of one and zeros don't count."""
+def history_groups(df: DataFrame, ret: str = "reward", k: int = 3, alpha: float = 1.0, uid: str = "uid", traj: str = "traj_uid", step: str = "step", obs: str = "anchor_obs", base: str | None = None) -> DataFrame:
+    """Weighted mean of advantages in groups that share the last 1..k observations; groups of one and zeros don't count. ``base`` is an advantage of weight 1 for no history."""
     w = Window.partitionBy(uid, traj).orderBy(step)
     d = df.withColumn("_h", F.collect_list(obs).over(w.rowsBetween(-(k - 1), 0)))
     d = d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_h")))).withColumn("_key", F.array_join(F.slice("_h", -F.col("_k"), F.col("_k")), "\u0001"))
     g = Window.partitionBy(uid, "_k", "_key")
     adv = F.when(F.count("*").over(g) > 1, (F.col(ret) - F.avg(ret).over(g)) / (F.stddev_pop(ret).over(g) + EPS)).otherwise(0.0)
     d = d.withColumn("_a", adv).withColumn("_w", F.pow((F.col("_k") + 1).cast("double"), F.lit(alpha)))
+    d = d.select(uid, traj, step, "_a", "_w")
+    if base:
+        d = d.unionByName(df.select(uid, traj, step, F.col(base).alias("_a"), F.lit(1.0).alias("_w")))
     on = F.col("_a") != 0
     return d.groupBy(uid, traj, step).agg((F.coalesce(F.sum(F.when(on, F.col("_w") * F.col("_a"))), F.lit(0.0)) / (F.coalesce(F.sum(F.when(on, F.col("_w"))), F.lit(0.0)) + EPS)).alias("advantage"))
 
@@ -175,3 +178,47 @@ def prime_norm(df: DataFrame, rewards: str) -> DataFrame:
 
     top = df.agg(F.max(F.array_max(F.transform(reverse_cumsum(F.col(rewards)), lambda x: F.abs(x)))).alias("m")).first().m
     return df.withColumn(rewards, F.transform(rewards, lambda x: x / (top + 1e-6)))
+
+
+def weighted_joint(df: DataFrame, episode: str, ret: str, step_weight: float = 1.0, episode_weight: float = 1.0, uid: str = "uid", anchor: str = "anchor_obs", norm: bool = False) -> DataFrame:
+    """Step advantage over the anchor group and episode advantage over the prompt group, each by its weight; an episode weight of 0 is not computed."""
+    if episode_weight == 0:
+        return df.withColumn("advantage", step_weight * centred(F.col(ret), uid, anchor, ddof=1 if norm else None, singleton="zero"))
+    joint = episode_step_joint(df, episode, ret, uid, anchor, norm=norm)
+    return joint.withColumn("advantage", step_weight * F.col("adv_step") + episode_weight * F.col("adv_episode"))
+
+
+def detached_loss(df: DataFrame, score: str, acc: str, beta: float, uid: str = "uid") -> DataFrame:
+    """Per row the loss of its score against the mean score of the rows of its group that did otherwise, and its best-of-n weight by accuracy.
+
+    Accuracies have few distinct values, so the sums of those below and above are windows in order of accuracy, not pairs."""
+    w = Window.partitionBy(uid).orderBy(acc)
+    whole = Window.partitionBy(uid)
+    upto, n_upto = F.sum(score).over(w), F.count("*").over(w)  # ties included
+    own, n_own = F.sum(score).over(Window.partitionBy(uid, acc)), F.count("*").over(Window.partitionBy(uid, acc))
+    total, n = F.sum(score).over(whole), F.count("*").over(whole)
+    good = F.col(acc) > 0
+    other, n_other = F.when(good, upto - own).otherwise(total - upto), F.when(good, n_upto - n_own).otherwise(n - n_upto)
+    margin = beta * (F.col(score) - F.when(n_other > 0, other / n_other).otherwise(0.0)) * F.when(good, 1).otherwise(-1)
+    return df.withColumn("loss", F.log1p(F.exp(-margin))).withColumn("weight", n * F.pow(n_upto / n, n - 1))
+
+
+def size_shares(groups: DataFrame, low: int, high: int, by_mass: bool, macro: bool, instance: str = "instance", step: str = "step", size: str = "size") -> DataFrame:
+    """(bucket, pct): shares of group sizes 2..20 and 21+ in steps low..high, by count or by mass; pooled, or as the mean of instances."""
+    g = groups.filter(F.col(step).between(low, high))
+    have = g.select(instance).distinct().count() if macro else 1
+    g = g.filter(F.col(size) >= 2).withColumn("bucket", F.when(F.col(size) >= 21, "21+").otherwise(F.col(size).cast("string")))
+    keys = [instance] if macro else []
+    sums = g.groupBy(*keys, "bucket").agg((F.sum(size) if by_mass else F.count("*")).cast("double").alias("_m"))
+    pct = sums.withColumn("_p", 100.0 * F.col("_m") / F.sum("_m").over(Window.partitionBy(*keys)))
+    out = pct.groupBy("bucket").agg((F.sum("_p") / F.lit(max(1, have))).alias("pct"))
+    return out.withColumn("pct", 100.0 * F.col("pct") / F.sum("pct").over(Window.partitionBy()))
+
+
+def edge_rank(df: DataFrame, value: str, *keys: str, name: str = "pct") -> DataFrame:
+    """Rank share with mean ranks of ties inside a group; where all are equal, 1, 0 or a half by sign."""
+    w = Window.partitionBy(*keys)
+    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0 - 1
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    alone = F.when(low > 0, 1.0).when(low < 0, 0.0).otherwise(0.5)
+    return df.withColumn(name, F.when(low == high, alone).otherwise(rank / (F.count("*").over(w) - 1)))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Sequence
+from itertools import chain, combinations, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,20 +74,15 @@ def contrast_mean(df: DataFrame, key: str, value: str, flag: str) -> DataFrame:
 
 
 def pair_budget(n: int, max_pairs: int) -> list[tuple[int, int]]:
-    """All pairs if they fit (or the budget is negative); else hubs with everyone, then strides."""
-    if max_pairs == 0 or n < 2:
+    """All pairs if they fit (or the budget is negative); else a few hubs with everyone after them, then pairs a stride apart."""
+    if n < 2 or max_pairs == 0:
         return []
     if max_pairs < 0 or n * (n - 1) // 2 <= max_pairs:
-        return [(i, j) for i in range(n) for j in range(i + 1, n)]
-    out: list[tuple[int, int]] = []
-    hubs = max(1, max_pairs // (2 * n))
-    for h in range(hubs):
-        out += [(h, j) for j in range(h + 1, n)]
-    stride = 1
-    while len(out) < max_pairs and stride < n:
-        out += [(i, i + stride) for i in range(hubs, n - stride)]
-        stride += 1
-    return out[:max_pairs]
+        return list(combinations(range(n), 2))
+    stride = max(1, n // 4)
+    starred = ((h, j) for h in range(max(1, min(n - 1, math.ceil(math.sqrt(max_pairs))))) for j in range(h + 1, n))
+    strided = ((i, j) for i in range(n) for j in range(i + stride, n, stride))
+    return list(islice(chain(starred, strided), max_pairs))
 
 
 def interval_overlap(spans: DataFrame, pieces: DataFrame, key: str, start: str = "s", end: str = "e", p_start: str = "start_at", p_end: str = "end_at", pos: str = "pos") -> DataFrame:

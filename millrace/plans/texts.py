@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import corpus as C
 from millrace.operators import registry as X
 from millrace.operators import returns as R
+from millrace.operators.state import shared_folder
 from millrace.plans.registry import register
 from millrace.plans.views import STEPS, steps
 from millrace.session import table
@@ -256,7 +256,7 @@ def u07(s, d):
 
 # ---- readers and writers: through the shared checkpoint folder ----
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()) + f"/query-{uuid.uuid4().hex}"
+    return shared_folder(spark, "query")
 
 
 @register("s01_parquet_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000")

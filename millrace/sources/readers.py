@@ -66,10 +66,10 @@ def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 @reader("column_logs")
-def read_column_logs(spark: SparkSession, root: str) -> DataFrame:
-    """One folder a metric with JSON lines {index, data}, pivoted to a row per index."""
-    rows = spark.read.schema("index long, data double").json(f"{root}/*/*.log").withColumn("metric", F.element_at(F.split(F.input_file_name(), "/"), -2))
-    return rows.groupBy("index").pivot("metric").agg(F.last("data"))
+def read_column_logs(spark: SparkSession, root: str, files: str = "*.log") -> DataFrame:
+    """One folder a metric with JSON lines {index, data}, pivoted to a row per index; of repeated indices the last line counts."""
+    rows = spark.read.schema("index long, data double").json(f"{root}/*/{files}").withColumn("metric", F.element_at(F.split(F.input_file_name(), "/"), -2)).withColumn("_n", F.monotonically_increasing_id())
+    return rows.groupBy("index").pivot("metric").agg(F.max_by("data", "_n"))
 
 
 @reader("paired_tests")
