@@ -112,8 +112,10 @@ def cut_overlaps(groups: Sequence[Sequence[Occurrence]], scores: Sequence[float]
 
 def _score(g: Sequence[Occurrence], s0: float, ref: float) -> float:
     """Plain form of :func:`groupstats.groupability` at saturating form."""
+    if len(g) < 2:
+        return 0.0
     size = sum(o.size for o in g) / len(g)
-    return (1 - math.exp(-size / s0)) * (1 - math.exp(-(len(g) - 1) / ref)) if len(g) > 1 else 0.0
+    return (1 - math.exp(-size / s0)) * (1 - math.exp(-(len(g) - 1) / ref))
 
 
 def anchors_of_prompt(roots: Sequence[tuple[int, int, str, Sequence[str]]], similar: float = 0.8, budget: int = 16, least_lines: int = 1, max_pairs: int = 64, s0: float = 8.0, ref: float = 8.0) -> list[list[Occurrence]]:
