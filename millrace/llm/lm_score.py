@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks
 from millrace.llm.blocks import U
+from millrace.llm.durable import checkpoint
 from millrace.llm.slices import slices, small_batches, tidy, tidy_group, tidy_pair
 from millrace.llm.window_dedup import _word_bounds
 
@@ -99,7 +100,14 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(n)], names=["word", "kind", "n"])
 
     counts = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(tidy(run), "word long, kind int, n long").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    counts = checkpoint(counts)
+    # only words of the powers of two that the vocabulary reaches are sorted
+    powers, least = {r.power: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}, 1
+    for power in sorted(powers, reverse=True):
+        if sum(n for p, n in powers.items() if p >= power) >= VOCABULARY:
+            least = 1 << power
+            break
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
     own = top.column("word").to_numpy().view(np.uint64)
     types = np.zeros(KINDS)
     for r in counts.groupBy("kind").count().collect():
@@ -132,9 +140,16 @@ class WindowNetwork:
         return self
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+    def _softmax(z: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """exp(z) over a row's largest (or as it is, if z is known to be bounded), and the rows' sums; z is overwritten."""
+        if not bounded:
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z, z.sum(1)
+
+    def _bounded(self) -> tuple[bool, bool]:
+        """Whether the outputs' weights are so small that no exponential can overflow (hidden values lie within 1)."""
+        return bool(np.abs(self.classes).sum(0).max() < 60), bool(np.abs(self.inside).sum(1).max() < 60)
 
     def _hidden(self, context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         one = np.ones((len(context[0]), 1), np.float32)
@@ -144,15 +159,17 @@ class WindowNetwork:
     def log_probability(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """log p(word | two words at each side); words are numbers."""
         out = np.zeros(len(word))
+        flat, deep = self._bounded()
         for at in range(0, len(word), 1 << 15):
             part = slice(at, at + (1 << 15))
             _, h = self._hidden([c[part] for c in context])
             cls, slot = np.divmod(word[part], SLOTS)
-            own = self._log_softmax(h @ self.classes)[np.arange(len(cls)), cls].astype(float)
+            e, total = self._softmax(h @ self.classes, flat)
+            own = e[np.arange(len(cls)), cls] / total
             for rows in self._by_class(cls):
-                c = cls[rows[0]]
-                own[rows] += self._log_softmax(h[rows] @ self.inside[c])[np.arange(len(rows)), slot[rows]]
-            out[part] = own
+                e, total = self._softmax(h[rows] @ self.inside[cls[rows[0]]], deep)
+                own[rows] *= e[np.arange(len(rows)), slot[rows]] / total
+            out[part] = np.log(np.maximum(own, 1e-37))
         return out
 
     @staticmethod
@@ -165,18 +182,18 @@ class WindowNetwork:
         n = np.float32(len(word))
         x, h = self._hidden(context)
         cls, slot = np.divmod(word, SLOTS)
-        logp = self._log_softmax(h @ self.classes)
-        loss = -float(logp[np.arange(len(cls)), cls].sum())
-        dz = np.exp(logp)
+        dz, total = self._softmax(h @ self.classes)
+        dz /= total[:, None]
+        loss = -float(np.log(np.maximum(dz[np.arange(len(cls)), cls], 1e-37)).sum())
         dz[np.arange(len(cls)), cls] -= 1
         grads = {"classes": h.T @ dz / n}
         dh = dz @ self.classes.T
         touched, inside = [], []
         for rows in self._by_class(cls):
             c = int(cls[rows[0]])
-            logp = self._log_softmax(h[rows] @ self.inside[c])
-            loss -= float(logp[np.arange(len(rows)), slot[rows]].sum())
-            dz = np.exp(logp)
+            dz, total = self._softmax(h[rows] @ self.inside[c])
+            dz /= total[:, None]
+            loss -= float(np.log(np.maximum(dz[np.arange(len(rows)), slot[rows]], 1e-37)).sum())
             dz[np.arange(len(rows)), slot[rows]] -= 1
             dh[rows] += dz @ self.inside[c].T
             touched.append(c)
@@ -312,10 +329,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         hashed, kind, n, pair, window = found(left)
         replies = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(d) for _, d in replies)])
-        _, place = np.unique(np.concatenate([pair, window]), return_inverse=True)
-        doc = np.tile(np.repeat(np.arange(len(n)), n), 2)
-        _, mine, own = np.unique(place.astype(np.int64) * (len(n) + 1) + doc, return_inverse=True, return_counts=True)
-        others = totals[place] - own[mine]
+        both, doc = np.concatenate([pair, window]), np.tile(np.repeat(np.arange(len(n)), n), 2)
+        order = np.argsort(both, kind="stable")  # equal fingerprints stay in order of documents
+        ordered, docs_of = both[order], doc[order]
+        fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(both)]
+        edge = np.flatnonzero(fresh | np.append(True, docs_of[1:] != docs_of[:-1])[: len(both)])
+        size = np.diff(np.append(edge, len(both)))
+        others = np.empty(len(both), np.int64)
+        others[order] = totals[np.cumsum(fresh) - 1] - np.repeat(size, size)
         pairs, windows = np.split(others, 2)
         prior = np.exp(np.maximum(shared.value.prior(hashed, kind, n), -60.0))
         logp = np.log((windows + PRIOR * prior) / (pairs + PRIOR))
