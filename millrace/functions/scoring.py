@@ -151,8 +151,9 @@ def proportional_span(start: Column, end: Column, text_length: Column, tokens: C
 
 
 def call_stdin(args: Column) -> Column:
-    """One JSON value a line."""
-    return F.array_join(F.transform(args, lambda a: F.to_json(F.array(a))), "\n")
+    """One JSON value a line, each line ended; no arguments give an empty text."""
+    values = F.transform(args, lambda a: F.regexp_replace(F.to_json(F.array(a), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", "$1\n"))
+    return F.array_join(values, "")
 
 
 def canonical_map(m: Column) -> Column:

@@ -109,7 +109,7 @@ def clean_title(text: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
-    return name.endswith("_test.py") | name.startswith("test_") | F.array_contains(F.split(path, "/"), "tests") | F.array_contains(F.split(path, "/"), "test")
+    return name.endswith("_test.py") | name.startswith("test_") | F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ("tests", "Tests", "test", "Test"))))
 
 
 def message_kind(message: Column) -> Column:

@@ -78,11 +78,16 @@ def parse_schedule(spec: str) -> list[tuple[int, str]]:
     return [(int(a), b.replace("+", ",")) for a, b in (x.split(":", 1) for x in spec.split(",") if ":" in x)]
 
 
-def order_by_difficulty(df: DataFrame, difficulty: str, order: Sequence[str], key: str) -> DataFrame:
+def difficulty_rank(difficulty: str, order: Sequence[str]) -> Column:
+    """Place of a level in the order; unknown ones last."""
     rank = F.lit(len(order))
     for i, name in reversed(list(enumerate(order))):
         rank = F.when(F.lower(difficulty) == name, i).otherwise(rank)
-    return df.orderBy(rank, key)
+    return rank
+
+
+def order_by_difficulty(df: DataFrame, difficulty: str, order: Sequence[str], key: str) -> DataFrame:
+    return df.orderBy(difficulty_rank(difficulty, order), key)
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

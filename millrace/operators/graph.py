@@ -91,11 +91,13 @@ def simple_paths(e: DataFrame, source: str, target: str, depth: int | None = Non
     return found.select("uid", "path")
 
 
-def mandatory_states(e: DataFrame, source: str, target: str) -> DataFrame:
-    """States without which the target can't be reached from the source, per group."""
+def mandatory_between(e: DataFrame, ends: DataFrame) -> DataFrame:
+    """(uid, mid): states without which a group's ``target`` can't be reached from its ``source``; ``ends`` has a row of both a group."""
     n = cut(neighbours(e))
-    mids = n.select("uid", F.col("u").alias("mid")).union(n.select("uid", F.col("v").alias("mid"))).distinct().filter(~F.col("mid").isin(source, target))
-    reach = cut(mids.select("uid", "mid", F.lit(source).alias("at")))
+    ends = cut(ends.select("uid", "source", "target"))
+    both = n.select("uid", F.explode(F.array("u", "v")).alias("mid")).join(ends, "uid")
+    mids = both.filter("mid <> source AND mid <> target").select("uid", "mid", "source").distinct()
+    reach = cut(mids.select("uid", "mid", F.col("source").alias("at")))
     front = reach
     while True:
         nxt = front.join(n.select("uid", F.col("u").alias("at"), "v"), ["uid", "at"]).filter(F.col("v") != F.col("mid")).select("uid", "mid", F.col("v").alias("at")).distinct()
@@ -103,7 +105,21 @@ def mandatory_states(e: DataFrame, source: str, target: str) -> DataFrame:
         if front.isEmpty():
             break
         reach = cut(reach.unionByName(front))
-    return mids.join(reach.filter(F.col("at") == target).select("uid", "mid"), ["uid", "mid"], "left_anti")
+    around = reach.join(ends, "uid").filter("at = target").select("uid", "mid")
+    return mids.select("uid", "mid").join(around, ["uid", "mid"], "left_anti")
+
+
+def mandatory_states(e: DataFrame, source: str, target: str) -> DataFrame:
+    """States without which the target can't be reached from the source, per group."""
+    return mandatory_between(e, e.select("uid").distinct().select("uid", F.lit(source).alias("source"), F.lit(target).alias("target")))
+
+
+def golden_states(candidates: DataFrame, e: DataFrame, state: str = "state", order: str = "pos") -> DataFrame:
+    """Candidates of a group in order, without inner ones that some path from the first to the last avoids; where no path exists, all inner ones stay."""
+    w = Window.partitionBy("uid")
+    c = candidates.withColumn("_a", F.min_by(state, order).over(w)).withColumn("_b", F.max_by(state, order).over(w)).withColumn("_end", (F.col(order) == F.min(order).over(w)) | (F.col(order) == F.max(order).over(w)))
+    needed = mandatory_between(e, c.groupBy("uid").agg(F.first("_a").alias("source"), F.first("_b").alias("target"))).select("uid", F.col("mid").alias(state), F.lit(True).alias("_m"))
+    return c.join(needed, ["uid", state], "left").filter(F.col("_end") | F.col("_m")).select(*candidates.columns)
 
 
 def segment_returns(steps: DataFrame, golden: str, gamma: float = 0.95, hit_reward: float = 10.0) -> DataFrame:

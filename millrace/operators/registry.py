@@ -76,3 +76,8 @@ def on_partitions(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
 def balanced_order(df: DataFrame, part: str, parts: int) -> DataFrame:
     """Rows dealt to partitions by their balanced part."""
     return df.repartition(parts, part)
+
+
+def replicated(df: DataFrame, ranks: int) -> DataFrame:
+    """Each row once a rank, for work that every rank does on all rows."""
+    return df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
