@@ -32,14 +32,17 @@ def hot_keys(rows: DataFrame, key: str) -> list[int]:
     return [r[0] for r in counts.filter(F.col("n") > max(SALTS, total / HOT_SHARE)).select(key).collect()]
 
 
-def join_split(rows: DataFrame, one_per_key: DataFrame, key: str, spread: str, hot: list[int]) -> DataFrame:
-    """Inner join of many rows a key with one; the rows of hot keys are dealt by a hash of ``spread``, and their single row goes to every part."""
-    if not hot:
+def join_split(rows: DataFrame, one_per_key: DataFrame, key: str, spread: str, hot: list[int], how: str = "inner") -> DataFrame:
+    """Join of many rows a key with one; the rows of hot keys are dealt by a hash of ``spread``, and their single row goes to every part.
+
+    In a left join rows without a key are kept, and dealt as well."""
+    if not hot and how == "inner":
         return rows.join(one_per_key, key)
     is_hot = F.col(key).isin(hot)
-    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
+    dealt = is_hot | F.col(key).isNull() if how == "left" else is_hot
+    left = rows.withColumn("_part", F.when(dealt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
     right = one_per_key.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
