@@ -6,18 +6,22 @@ so their walks agree in most places: edit distance becomes Hamming distance. Win
 of documents, and at every character of runs without a space, so each window of a copied passage has its fellow.
 Each repetition keys a window by sampled places of its walk; equal keys are candidates. The number of repetitions
 follows from the recall wanted at the rate of edits that verification accepts and from the windows that the poorest
-item has. Candidates are pruned by a bound that loses nothing: the least distances of an item's pieces of up to 64
-characters near their places add up to no more than the item's (all candidates at once, a machine word each). What is
-left is verified by the exact edit distance of the item to the best stretch of the document (on whole integers).
+item itself has: an item of many windows is in the first tables only, so later tables are sparse. Candidates are pruned twice,
+all at once and a machine word each. First the piece of up to 64 characters about the agreeing window must lie within
+``drift`` of its place with no more edits than four standard deviations above the rate allow (this is part of the sampling
+that the recall is measured for). Then a bound that loses nothing: the least distances of all pieces of an item near their
+places add up to no more than the item's. What is left is verified by the exact edit distance of the item to the best
+stretch of the document (on whole integers): a copy may have one edit in ``ONE_IN`` characters of the item, rounded down.
 
 Items of under ``MIN_WINDOWS`` windows are searched for exactly: cut into one piece more than the edits they may
 have, one piece stands unchanged in every copy; its places are verified.
 
 Items are gathered in parts of at most ``PART_BYTES``, whose tables take some 60 times as much; a larger benchmark is
-matched part by part, so what executors hold is bounded. Documents are read in one narrow pass per part: no shuffle, no pairs between documents.
+matched part by part, each in a pass of its own, so a worker holds the tables of one part. Documents are read in one narrow
+pass per part: no shuffle, no pairs between documents.
 
-Cases: null or empty texts match nothing; case and runs of white space are ignored; repeated items are each
-reported; rows without an id are reported with a null id.
+Cases: null or empty texts match nothing; case and runs of white space are ignored; items that repeat are searched once and
+each reported; rows without an id are reported with a null id.
 """
 
 from __future__ import annotations
@@ -32,14 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks
+from millrace.llm.durable import checkpoint
 from millrace.llm.slices import slices, small_batches, tidy
 
-SIMILARITY, RECALL = 0.8, 0.95
+#: A copy may have one edit in so many characters of an item; the recall that repetitions are reckoned for at that rate.
+ONE_IN, RECALL = 5, 0.99
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
 KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
 PART_BYTES = 2 << 20
 BATCH_BYTES = 1 << 18
 U = np.uint64
+MIX = U(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> str:
@@ -73,7 +80,12 @@ def best_distance(pattern: str, text: str, limit: int) -> tuple[int, int]:
     return best, where
 
 
-def repetitions(windows: int, rate: float = 1 - SIMILARITY, recall: float = RECALL) -> int:
+def edits_allowed(size: int) -> int:
+    """Edits that a copy of an item of so many characters may have."""
+    return size // ONE_IN
+
+
+def repetitions(windows: int, rate: float = 1 / ONE_IN, recall: float = RECALL) -> int:
     """Repetitions so that a passage of this many windows is found at this rate of edits.
 
     A walk of KEY_STEPS reads about half as many characters; a window is in step if none of them is edited.
@@ -99,7 +111,8 @@ def window_starts(buf: np.ndarray) -> np.ndarray:
 class Benchmark:
     """LSH tables of one part of the items."""
 
-    ids: list
+    #: Ids of the items of each text.
+    ids: list[list]
     texts: list[str]
     moves: np.ndarray
     places: np.ndarray
@@ -118,13 +131,18 @@ class Benchmark:
     piece_at: np.ndarray
     piece_size: np.ndarray
     piece_bits: np.ndarray
+    #: Per window: the piece of its item about it.
+    piece_of: np.ndarray
     #: Pieces of items that are searched for exactly, by length: piece to (item, offset).
     pieces: dict[int, dict[str, list[tuple[int, int]]]]
 
     @staticmethod
-    def build(rows: list[tuple], rate: float = 1 - SIMILARITY, recall: float = RECALL) -> Benchmark | None:
-        rows = [(i, normal(t)) for i, t in rows]
-        rows = [(i, t) for i, t in rows if t]
+    def build(rows: list[tuple], rate: float = 1 / ONE_IN, recall: float = RECALL) -> Benchmark | None:
+        by_text: dict[str, list] = {}
+        for i, t in rows:
+            if t := normal(t):
+                by_text.setdefault(t, []).append(i)
+        rows = [(ids, t) for t, ids in by_text.items()]
         if not rows:
             return None
         data = [t.encode() for _, t in rows]
@@ -140,11 +158,12 @@ class Benchmark:
         pieces: dict[int, dict[str, list[tuple[int, int]]]] = {}
         for k in np.flatnonzero(exact).tolist():
             t = rows[k][1]
-            n = int((1 - SIMILARITY) * len(t)) + 1
+            n = edits_allowed(len(t)) + 1
             cuts = [len(t) * i // n for i in range(n + 1)]
             for p, q in zip(cuts, cuts[1:]):
                 pieces.setdefault(q - p, {}).setdefault(t[p:q], []).append((k, p))
-        reps = repetitions(int(windows[~exact].min()), rate, recall) if len(starts) else 0
+        need = np.array([0 if e else repetitions(max(1, n), rate, recall) for n, e in zip(windows.tolist(), exact)])
+        reps = int(need.max())
         rng = np.random.default_rng(SEED)
         moves = rng.integers(0, 2, (reps, KEY_STEPS, 256)).astype(np.int64)
         places = np.array([np.isin(np.arange(KEY_STEPS), rng.choice(KEY_STEPS, KEY_PLACES, replace=False)) for _ in range(reps)])
@@ -156,36 +175,43 @@ class Benchmark:
             for at, c in enumerate(t):
                 masks[k, ord(c) & 255] |= U(1 << at)
         first_piece = np.searchsorted([k for k, _, _ in cut], np.arange(len(rows) + 1))
-        limits = np.array([int((1 - SIMILARITY) * len(t)) for _, t in rows])
+        limits = np.array([edits_allowed(len(t)) for _, t in rows])
         sizes = np.array([len(t) for _, _, t in cut])
-        b = Benchmark([i for i, _ in rows], [t for _, t in rows], moves, places, bits, [], [], [], [], place[starts] - place[first[item]], item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, pieces)
+        offsets = place[starts] - place[first[item]]
+        near = np.minimum(first_piece[item] + (offsets + KEY_STEPS // 4) // PIECE, first_piece[item + 1] - 1) if len(starts) else starts
+        near = np.where((sizes[near] < PIECE // 2) & (near > first_piece[item]), near - 1, near) if len(starts) else near
+        b = Benchmark([i for i, _ in rows], [t for _, t in rows], moves, places, bits, [], [], [], [], offsets, item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, near, pieces)
         for r in range(reps):
-            _, early = b.walk_keys(buf, starts, r, KEY_STEPS // 2)
-            _, k = b.walk_keys(buf, starts, r, KEY_STEPS)
+            own = np.flatnonzero(need[item] > r)
+            _, early = b.walk_keys(buf, starts[own], r, KEY_STEPS // 2)
+            _, k = b.walk_keys(buf, starts[own], r, KEY_STEPS)
             order = np.argsort(k, kind="stable")
             b.keys.append(k[order])
-            b.owners.append(order)
+            b.owners.append(own[order])
             b.half.append(b.packed(early))
             b.full.append(b.packed(k))
         return b
 
     def packed(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(1 << self.bits, bool)
-        out[(keys >> U(64 - self.bits)).astype(np.int64)] = True
+        out[self.leading(keys)] = True
         return np.packbits(out)
 
+    def leading(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * MIX >> U(64 - self.bits)).astype(np.int64)
+
     def walk_keys(self, buf: np.ndarray, at: np.ndarray, rep: int, steps: int, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``at`` that are still walked, and their keys; with ``early``, half-way only those go on whose key it has."""
         which, at, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
         for j in range(steps):
             if early is not None and j == KEY_STEPS // 2:
-                live = np.flatnonzero(early[(key >> U(64 - self.bits)).astype(np.int64)])
+                live = np.flatnonzero(early.take(self.leading(key)))
                 which, at, key = which[live], at[live], key[live]
-            c = buf[at]
+            c = buf.take(at)
             if self.places[rep, j]:
-                key = (key ^ c) * U(0x9E3779B97F4A7C15)
-                key ^= key >> U(29)
-            at += self.moves[rep, j][c]
+                key *= MIX
+                key ^= c
+            at += self.moves[rep, j].take(c)
         return which, key
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
@@ -220,31 +246,66 @@ class Benchmark:
         for r, (keys, owners) in enumerate(zip(self.keys, self.owners)):
             half, full = self._maps(r)
             walked, k = self.walk_keys(buf, starts, r, KEY_STEPS, half)
-            maybe = np.flatnonzero(full[(k >> U(64 - self.bits)).astype(np.int64)])
+            maybe = np.flatnonzero(full.take(self.leading(k)))
             a, b = np.searchsorted(keys, k[maybe]), np.searchsorted(keys, k[maybe], side="right")
             n = b - a
             whose.append(np.repeat(walked[maybe], n))
             which.append(owners[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)])
         place = np.cumsum((buf & 0xC0) != 0x80) - 1
         at, window = np.concatenate(whose), np.concatenate(which)
-        item, begin = self.item_of[window], place[starts[at]] - self.offsets[window]
-        if not len(item):
+        begin = place[starts[at]] - self.offsets[window]
+        if not len(window):
             return
-        low, span, n_items = int(begin.min()), int(begin.max() - begin.min()) + 1, len(self.texts)
-        together, begin = np.divmod(np.unique((doc[at] * n_items + item) * span + begin - low), span)
-        (d, item), begin = np.divmod(together, n_items), begin + low
         margin = PIECE + 2 * max(len(t) for t in self.texts)
         codes = np.pad(np.frombuffer("\0".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint8), margin)
+        low, span, n_pieces = int(begin.min()), int(begin.max() - begin.min()) + 1, len(self.piece_size)
+        together, begin = np.divmod(np.unique((doc[at] * n_pieces + self.piece_of[window]) * span + begin - low), span)
+        (d, piece), begin = np.divmod(together, n_pieces), begin + low
+        ok = np.concatenate([k + np.flatnonzero(self._is_near(codes, piece[k : k + 4096], begin[k : k + 4096] + margin)) for k in range(0, len(d), 4096)])
+        if not len(ok):
+            return
+        item = np.searchsorted(self.first_piece, piece[ok], side="right") - 1
+        n_items = len(self.texts)
+        together, begin = np.divmod(np.unique((d[ok] * n_items + item) * span + begin[ok] - low), span)
+        (d, item), begin = np.divmod(together, n_items), begin + low
         for k in range(0, len(d), 4096):
             part = slice(k, k + 4096)
             ok = k + np.flatnonzero(self._may_hold(codes, item[part], begin[part] + margin))
             for x, y, z in zip(d[ok].tolist(), item[ok].tolist(), (begin[ok] - place[first[d[ok]]]).tolist()):
                 self._verify(texts[i + x], i + x, y, z, done, out)
 
+    def _least(self, codes: np.ndarray, piece: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
+        """Least edits between each piece and any stretch that ends within ``steps`` characters from ``start``.
+
+        Characters count as equal if their low bytes are, which only lowers the number."""
+        size = self.piece_size[piece]
+        bits, row, top = self.piece_bits.ravel(), piece * 256, (size - 1).astype(np.uint64)
+        pv, mv, score = np.full(len(piece), ~U(0)), np.zeros(len(piece), np.uint64), size.copy()
+        least = score.copy()
+        for j in range(steps):
+            eq = bits.take(row + codes.take(start + j))
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += (ph >> top & U(1)).view(np.int64)
+            score -= (mh >> top & U(1)).view(np.int64)
+            ph, mh = ph << U(1), mh << U(1)
+            pv, mv = mh | ~(xv | ph), ph & xv
+            np.minimum(least, score, out=least)
+        return least
+
+    def _is_near(self, codes: np.ndarray, piece: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the piece about an agreeing window stands near its place, at up to four deviations above the rate of edits."""
+        size = self.piece_size[piece]
+        drift = PIECE // 5
+        rate = 1 / ONE_IN
+        most = rate * size + 4 * np.sqrt(rate * (1 - rate) * size)
+        return self._least(codes, piece, begin + self.piece_at[piece] - drift, int(size.max()) + 2 * drift) <= most
+
     def _may_hold(self, codes: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Whether the least distances of an item's pieces, each near its place after ``begin``, add up to what the item may have.
 
-        Characters count as equal if their low bytes are, and a piece may end in a neighbour: both only lower the sum."""
+        A piece may end in a neighbour, which only lowers the sum."""
         total, limit = np.zeros(len(item), np.int64), self.limits[item]
         live, step = np.arange(len(item)), 0
         while len(live):
@@ -252,21 +313,8 @@ class Benchmark:
             if not len(live):
                 break
             piece, near = self.first_piece[item[live]] + step, limit[live]
-            size = self.piece_size[piece]
-            start, steps = begin[live] + self.piece_at[piece] - near, int((size + 2 * near).max())
-            bits, row, top = self.piece_bits.ravel(), piece * 256, (size - 1).astype(np.uint64)
-            pv, mv, score = np.full(len(live), ~U(0)), np.zeros(len(live), np.uint64), size.copy()
-            least = score.copy()
-            for j in range(steps):
-                eq = bits[row + codes[start + j]]
-                xv = eq | mv
-                xh = (((eq & pv) + pv) ^ pv) | eq
-                ph, mh = mv | ~(xh | pv), pv & xh
-                score += ((ph >> top) & U(1)).astype(np.int64) - ((mh >> top) & U(1)).astype(np.int64)
-                ph, mh = ph << U(1), mh << U(1)
-                pv, mv = mh | ~(xv | ph), ph & xv
-                np.minimum(least, score, out=least)
-            total[live] += least
+            steps = int((self.piece_size[piece] + 2 * near).max())
+            total[live] += self._least(codes, piece, begin[live] + self.piece_at[piece] - near, steps)
             live, step = live[total[live] <= near], step + 1
         return total <= limit
 
@@ -276,7 +324,7 @@ class Benchmark:
         if any(f[0] == item for f in out[d]):
             return
         pattern = self.texts[item]
-        slack, limit = len(pattern) // 4 + 4, int((1 - SIMILARITY) * len(pattern))
+        slack, limit = len(pattern) // 4 + 4, edits_allowed(len(pattern))
         if any(abs(begin - x) <= slack - limit for x in own):
             return
         own.append(begin)
@@ -312,7 +360,7 @@ LEAK = "doc_id long, item_id long, edits long, start long, end long"
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, edits, start, end): items of which a document holds a copy within a fifth of edits.
 
-    start and end are characters of the document in normal form."""
+    start and end are characters of the document in normal form; an item's ids are each a row."""
     rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], LEAK)
     for b in benchmark_parts(items):
@@ -321,7 +369,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
             for batch in (s for b_ in batches for s in slices(b_, 1)):
                 ids = batch.column(0).to_pylist()
                 hits = b.search([normal(x) for x in batch.column(1).to_pylist()])
-                rows = [(ids[k], b.ids[item], *rest) for k, own in enumerate(hits) for item, *rest in own]
+                rows = [(ids[k], i, *rest) for k, own in enumerate(hits) for item, *rest in own for i in b.ids[item]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "item_id", "edits", "start", "end"])
 
         found = found.unionByName(rows.mapInArrow(tidy(run), LEAK))
@@ -329,9 +377,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without any leak, with their columns as they are: decided in place, without a join."""
+    """The documents without any leak, with their columns as they are: decided in place, without a join.
+
+    What one part of a large benchmark leaves is written before the next is matched, so that their tables don't stand side by side."""
     small_batches(docs)
-    for b in benchmark_parts(items):
+    for k, b in enumerate(benchmark_parts(items)):
+        if k:
+            docs = checkpoint(docs)
 
         def run(batches: Iterator[pa.RecordBatch], b: Benchmark = b) -> Iterator[pa.RecordBatch]:
             for batch in (s for b_ in batches for s in slices(b_, text)):
