@@ -9,8 +9,13 @@ inside one that was dropped from the content.
 Training: generated pages of many layouts (``GENERATED``), and a bounded sample of the given pages
 (``SAMPLE_PAGES``) in which an article element marks the content. Extraction is one narrow pass over whole pages.
 
-Cases: null and empty html give empty text; broken nesting is repaired by the usual rules for paragraphs, list items
-and table cells; a page without markup is one block of content; very deep trees are walked without recursion.
+Parsing takes time in proportion to the page, however broken it is. Tags end where HTML's attribute states end them, so a
+stray quote in a name or in a value without quotes swallows nothing; a tag or comment that never ends swallows the rest, as in
+browsers. What an opening tag closes (paragraphs, list items, table cells) is known from pointers that each element has,
+what a closing tag closes from a count of open elements; neither walks over more elements than it closes.
+
+Cases: null and empty html give empty text; text and elements outside of any body stand in an implied body, which is judged like
+any other element, so a fragment or a page without markup keeps its text; very deep trees are walked without recursion.
 """
 
 from __future__ import annotations
@@ -37,17 +42,26 @@ HIDDEN = frozenset("script style template noscript svg math iframe object head s
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What closes a paragraph, list item, term, row, cell or option, and what it stops at.
+REACH = [({"p"}, {"button", "table", "td", "th"}), ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"})]
+NEAR, NOTHING = frozenset().union(*[x | y for x, y in REACH]), (None,) * len(REACH)
+CLOSED_BY = {"li": (1,), "dt": (2,), "dd": (2,), "tr": (3, 4), "td": (4,), "th": (4,), "option": (5,)}
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li a b i em strong span nav header footer aside form table tr td blockquote pre figure figcaption body html dl dd dt label input button".split()
 WORDS = "content article post entry main story body text page wrapper container nav menu header footer sidebar side aside widget ad ads advert banner promo sponsor cookie notice consent alert popup modal comment comments reply share social related recommended recent breadcrumb breadcrumbs search form login newsletter subscribe tags meta author byline copyright legal toolbar top bottom links list logo skip".split()
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may stand in a head, and at the top without opening a body.
+HEADED = frozenset("base link meta noscript script style template title".split())
+
+WELL_FORMED = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*+)((?:\s++[a-zA-Z_:][\w:.-]*+(?:=(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'=<>`/]++))?)*+)\s*+(/?)>")
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+NAME = re.compile(r"[\s/]*+(?:[^\s/>][^\s/>=]*+(\s*+=\s*+)?)?")
+UNQUOTED = re.compile(r"[^\s>]*+")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "items", "tokens", "depth", "order", "own", "size", "linked", "marks", "paras", "below", "rank")
+    __slots__ = ("tag", "parent", "kids", "items", "tokens", "depth", "order", "own", "size", "linked", "marks", "paras", "below", "rank", "near")
 
     def __init__(self, tag: str, parent: Node | None, tokens: frozenset):
         self.tag, self.parent, self.tokens = tag, parent, tokens
@@ -55,57 +69,140 @@ class Node:
         self.kids: list[Node] = []
         self.items: list = []
         self.depth = parent.depth + 1 if parent else 0
+        #: Nearest open element of each kind that an opening tag may close: paragraph, list item, term, row, cell, option.
+        self.near: tuple = parent.near if parent else NOTHING
+        if tag in NEAR:
+            self.near = tuple(self if tag in ends else None if tag in stops else x for x, (ends, stops) in zip(self.near, REACH))
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag whose attributes start at ``at`` ends (after its ``>``), by HTML's attribute states; -1 if it never does."""
+    while True:
+        m = NAME.match(page, at)
+        named, at = m.end() > m.start(), m.end()
+        c = page[at : at + 1]
+        if m[1] and c in ("'", '"') and c:
+            at = page.find(c, at + 1) + 1
+            if not at:
+                return -1
+        elif m[1] and c != ">":
+            at = UNQUOTED.match(page, at).end()
+        elif c == ">":
+            return at + 1
+        elif not c or not named:
+            return -1
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash of an end tag, name, attributes) of each tag; what follows the last one comes with an empty name."""
+    at, text, end = 0, [], len(page)
+    while at < end:
+        m = page.find("<", at)
+        text.append(page[at : m if m >= 0 else end])
+        if m < 0:
+            break
+        if t := WELL_FORMED.match(page, m):
+            at, slash, name, attributes = t.end(), t[1], t[2].lower(), t[3] + t[4]
+        elif t := TAG_NAME.match(page, m):
+            at, slash, name = tag_end(page, t.end()), t[1], t[2].lower()
+            if at < 0:
+                break
+            attributes = page[t.end() : at - 1]
+        else:
+            if page.startswith("<!--", m):
+                short = next((x for x in (">", "->") if page.startswith(x, m + 4)), None)
+                close = m + 4 + len(short) if short else max(page.find("-->", m + 4) + 3, 2)
+            elif page[m + 1 : m + 2] in ("!", "?", "/") and m + 1 < end:
+                close = max(page.find(">", m + 1) + 1, 0) or 2
+            else:  # an ordinary sign
+                text.append("<")
+                at = m + 1
+                continue
+            if close == 2:
+                break
+            at = close
+            continue
+        yield "".join(text), slash, name, attributes
+        text = []
+        if not slash and name in RAW:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            at = tag_end(page, close.end()) if close else -1
+            if at < 0:
+                return
+    yield "".join(text), "", "", ""
 
 
 def parse(page: str | None) -> list[Node]:
     """The elements of a page in document order; the first is a root above all."""
-    page = page or ""
     root = Node("#root", None, frozenset())
-    nodes, here, at, end = [root], root, 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text and here.tag not in HIDDEN:
-            here.items.append(entities.unescape(text))
-        if not m:
-            break
-        at, tag = m.end(), (m[2] or "").lower()
+    nodes, here, body = [root], root, None
+    open_now: dict[str, int] = {}
+
+    def add(tag: str, parent: Node, tokens: frozenset = frozenset()) -> Node:
+        node = Node(tag, parent, tokens)
+        parent.kids.append(node)
+        parent.items.append(node)
+        nodes.append(node)
+        return node
+
+    def close(to: Node) -> None:
+        """Closes ``to`` and all that is open in it."""
+        nonlocal here
+        while True:
+            open_now[here.tag] -= 1
+            here, done = here.parent, here is to
+            if done:
+                return
+
+    def in_body() -> None:
+        nonlocal here, body
+        if here.tag == "head":
+            close(here)
+        if here.tag in ("#root", "html"):
+            if body is None:
+                body = add("body", here)
+                open_now["body"] = open_now.get("body", 0) + 1
+            here = body
+
+    for text, slash, tag, attributes in markup(page or ""):
+        if text:
+            if here.tag in ("#root", "html", "head") and not text.isspace():
+                in_body()
+            if here.tag not in HIDDEN and here.tag not in ("#root", "html"):
+                here.items.append(entities.unescape(text))
         if not tag:
             continue
-        if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+        if slash:
+            if tag not in ("body", "html") and open_now.get(tag):
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                close(up)
             continue
-        if tag in ENDS_P:
-            up = here
-            while up is not root and up.tag not in ("p", "table", "td", "th", "button"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if tag in CLOSES:
-            ends, stops = CLOSES[tag]
-            up = here
-            while up is not root and up.tag not in stops:
-                if up.tag in ends:
-                    here = up.parent
-                    if tag != "tr":
-                        break
-                up = up.parent
-        tokens = frozenset(w for _, a, b, c in ATTRIBUTE.findall(m[3]) for w in PART.findall((a or b or c).lower())) if m[3] else frozenset()
-        node = Node(tag, here, tokens)
-        here.kids.append(node)
-        here.items.append(node)
-        nodes.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
-        elif tag not in VOID and tag in BLOCK:
+        tokens = frozenset(w for _, a, b, c in ATTRIBUTE.findall(attributes) for w in PART.findall((a or b or c).lower())) if attributes else frozenset()
+        if tag in ("html", "head", "body"):
+            if tag == "html" and here is root and len(nodes) == 1 or tag == "head" and here.tag in ("#root", "html") and body is None:
+                here = add(tag, here, tokens)
+                open_now[tag] = 1
+            elif tag == "body":
+                if here.tag == "head":
+                    close(here)
+                if body is None and here.tag in ("#root", "html"):
+                    here = body = add(tag, here, tokens)
+                    open_now[tag] = 1
+            continue
+        if tag not in HEADED and here.tag in ("#root", "html", "head"):
+            in_body()
+        if tag in ENDS_P and here.near[0] is not None:
+            close(here.near[0])
+        for k in CLOSED_BY.get(tag, ()):
+            if here.near[k] is not None:
+                close(here.near[k])
+                break
+        node = add(tag, here, tokens)
+        if tag not in RAW and tag not in VOID and (tag in BLOCK or not attributes.endswith("/")):
             here = node
+            open_now[tag] = open_now.get(tag, 0) + 1
     measure(nodes)
     return nodes
 
@@ -237,7 +334,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     n = len(nodes)
     odds = np.clip(log_odds, -8, 8) * np.array([1 + min(x.own, 400) / 40 for x in nodes])
     best = [[0.0, float(o), 0.0] for o in odds]  # outside, content, dropped: gain over being no content
-    best[0][1] = float("-inf") if len(nodes) > 1 else 1.0
+    best[0][1] = float("-inf")
     for k in range(n - 1, 0, -1):
         if nodes[k].tag in HIDDEN:
             best[k] = [0.0, float("-inf"), 0.0]
@@ -249,7 +346,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     for k in range(n):
         above = state[nodes[k].parent.order] if k else 0
         out, content, _ = best[k]
-        state[k] = (1 if content > max(out, 0.0) else 0) if above == 0 else (1 if content > 0 else 2) if above == 1 else 2
+        state[k] = 2 if nodes[k].tag in HIDDEN else (1 if content > max(out, 0.0) else 0) if above == 0 else (1 if content > 0 else 2) if above == 1 else 2
     return state == 1
 
 
@@ -338,6 +435,12 @@ def generate(rng: random.Random) -> tuple[str, str]:
             body.append("<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
         else:
             body.append(rng.choice(junk[2:])())
+    if rng.random() < 0.05:  # no markup at all
+        return f"<body class='zzcontent'>{words(1, rng.choice((8, 80)))}", mark
+    if rng.random() < 0.15:  # text straight in the body, parted by breaks
+        lines = [rng.choice((f"{words(4, 60)}", f"{words(4, 40)} <b>{words(1, 4)}</b> {words(2, 30)}", f"{words(4, 40)} <a href=/x>{words(1, 3)}</a> {words(2, 30)}", f"<i>{words(1, 6)}</i> {words(4, 30)}")) for _ in range(rng.randint(1, 8))]
+        around = [f() for f in rng.sample(junk, rng.choice((0, 0, 1, 2)))]
+        return "<body class='zzcontent'>" + "".join(around[:1]) + rng.choice(("<br>", "<br><br>", "<p>")).join(lines) + "".join(around[1:]), mark
     before, after = [f() for f in rng.sample(junk, rng.randint(1, 4))], [f() for f in rng.sample(junk, rng.randint(0, 3))] + [f() for f in late if rng.random() < 0.6]
     wrap = rng.choice((("", ""), ("<div class='wrapper'>", "</div>"), ("<div id='page'><div class='container'>", "</div></div>")))
     head = f"<header><h2>{words(1, 4)}</h2></header>" if rng.random() < 0.4 else ""
@@ -359,7 +462,7 @@ def train(pages: list[str], seed: int = SEED, generated: int = GENERATED) -> Boo
         y = np.zeros(len(nodes))
         for n in nodes:
             inside = mark in n.tokens or (n.parent is not None and y[n.parent.order])
-            y[n.order] = inside and n.tag not in ("aside", "form") and not (n.tag != "p" and n.tokens - {mark} and mark not in n.tokens)
+            y[n.order] = inside and n.tag not in ("aside", "form", "nav", "header", "footer") and not (n.tag != "p" and n.tokens - {mark} and mark not in n.tokens)
             n.tokens = n.tokens - {"zzcontent"}
         add(nodes, y)
     for page in pages:
