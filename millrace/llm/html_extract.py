@@ -25,6 +25,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.slices import slices, small_batches, tidy
 
-SAMPLE_PAGES, GENERATED, SEED = 200, 400, 5
+SAMPLE_PAGES, GENERATED, SEED = 200, 600, 5
 TREES, DEPTH, BINS, RATE = 40, 4, 32, 0.3
 
 #: Fixed values of HTML: elements without content, whose content is no text, that break lines, and what ends a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript svg math iframe object head select textarea title button canvas audio video".split())
+NEVER = HIDDEN | {"nav"}
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
@@ -49,6 +51,7 @@ CLOSED_BY = {"li": (1,), "dt": (2,), "dd": (2,), "tr": (3, 4), "td": (4,), "th":
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li a b i em strong span nav header footer aside form table tr td blockquote pre figure figcaption body html dl dd dt label input button".split()
 WORDS = "content article post entry main story body text page wrapper container nav menu header footer sidebar side aside widget ad ads advert banner promo sponsor cookie notice consent alert popup modal comment comments reply share social related recommended recent breadcrumb breadcrumbs search form login newsletter subscribe tags meta author byline copyright legal toolbar top bottom links list logo skip".split()
 
+LONG_WORDS = [w for w in WORDS if len(w) >= 3]
 #: What may stand in a head, and at the top without opening a body.
 HEADED = frozenset("base link meta noscript script style template title".split())
 
@@ -60,6 +63,13 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 PART = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=1 << 14)
+def parts(name: str) -> frozenset:
+    """Words of an attribute value; of a compound also the known word that it starts or ends with (``navbar``, ``sitefooter``)."""
+    words = PART.findall(name.lower())
+    return frozenset(words) | {w for w in LONG_WORDS for x in words if x != w and (x.startswith(w) or x.endswith(w))}
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "items", "tokens", "depth", "order", "own", "size", "linked", "marks", "paras", "below", "rank", "near")
 
@@ -179,7 +189,7 @@ def parse(page: str | None) -> list[Node]:
                     up = up.parent
                 close(up)
             continue
-        tokens = frozenset(w for _, a, b, c in ATTRIBUTE.findall(attributes) for w in PART.findall((a or b or c).lower())) if attributes else frozenset()
+        tokens = frozenset().union(*[parts(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes)]) if attributes else frozenset()
         if tag in ("html", "head", "body"):
             if tag == "html" and here is root and len(nodes) == 1 or tag == "head" and here.tag in ("#root", "html") and body is None:
                 here = add(tag, here, tokens)
@@ -333,10 +343,12 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     """Which elements are content, by the best consistent assignment; elements count by their own text."""
     n = len(nodes)
     odds = np.clip(log_odds, -8, 8) * np.array([1 + min(x.own, 400) / 40 for x in nodes])
+    if n == 2 and nodes[1].tag == "body":  # text without markup
+        return np.array([False, True])
     best = [[0.0, float(o), 0.0] for o in odds]  # outside, content, dropped: gain over being no content
     best[0][1] = float("-inf")
     for k in range(n - 1, 0, -1):
-        if nodes[k].tag in HIDDEN:
+        if nodes[k].tag in NEVER:
             best[k] = [0.0, float("-inf"), 0.0]
         out, content, _ = best[k]
         up = best[nodes[k].parent.order]
@@ -346,7 +358,7 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
     for k in range(n):
         above = state[nodes[k].parent.order] if k else 0
         out, content, _ = best[k]
-        state[k] = 2 if nodes[k].tag in HIDDEN else (1 if content > max(out, 0.0) else 0) if above == 0 else (1 if content > 0 else 2) if above == 1 else 2
+        state[k] = 2 if nodes[k].tag in NEVER else (1 if content > max(out, 0.0) else 0) if above == 0 else (1 if content > 0 else 2) if above == 1 else 2
     return state == 1
 
 
@@ -398,7 +410,8 @@ def _mark(nodes: list[Node]) -> np.ndarray | None:
 def generate(rng: random.Random) -> tuple[str, str]:
     """A page of a random layout, and the mark (a class) that its content element and content bear."""
     pool = [("".join(rng.choice("aeioubcdlmnprst") for _ in range(rng.randint(2, 9)))) for _ in range(60)]
-    words = lambda a, b: " ".join(rng.choice(pool) + rng.choice(("", "", "", "", ",", ".")) for _ in range(rng.randint(a, b)))
+    scale = rng.choice((1, 1, 1, 1, 0.1))  # few pages are very short
+    words = lambda a, b: " ".join(rng.choice(pool) + rng.choice(("", "", "", "", ",", ".")) for _ in range(max(1, int(scale * rng.randint(a, b)))))
     links = lambda n: "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
     named = lambda *names: rng.choice(('class="{}"', 'id="{}"')).format(rng.choice(names) + rng.choice(("", "", "-inner", " box", "-wrap")))
     junk = [
@@ -410,14 +423,16 @@ def generate(rng: random.Random) -> tuple[str, str]:
         lambda: f"<div {named('cookie-notice', 'consent', 'notice', 'alert', 'popup')}><p>{words(8, 40)}</p><button>{words(1, 2)}</button></div>",
         lambda: f"<form {named('search', 'login', 'newsletter', 'subscribe')}><label>{words(2, 8)}</label><input type=text><p>{words(3, 12)}</p></form>",
         lambda: f"<div {named('share', 'social', 'tags')}>{links(3)}</div>",
+        lambda: f"<div {named('menu', 'nav', 'topbar', rng.choice(pool))}>" + rng.choice(("", " ", "<br>", " | ")).join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rng.randint(2, 6))) + "</div>",
     ]
     late = [
         lambda: f"<section {named('comments', 'comment-list', 'replies comments')}><h3>{words(1, 3)}</h3>" + "".join(f"<div class=\"comment\"><b>{words(1, 2)}</b><p>{words(6, 50)}</p></div>" for _ in range(rng.randint(1, 6))) + "</section>",
         lambda: f"<footer>&copy; {words(2, 20)}</footer>",
         lambda: f"<div {named('footer', 'copyright', 'legal', 'bottom')}><p>{words(5, 40)}</p></div>",
+        lambda: f"<div {named('footer', 'bottom', rng.choice(pool))}>&copy; 20{rng.randint(10, 30)} {words(2, 12)}</div>",
     ]
-    mark = "zzcontent"
-    open_, close = rng.choice((("<article class='zzcontent'>", "</article>"), ("<main class='zzcontent'>", "</main>"), (f"<div class='zzcontent {rng.choice(('content', 'post', 'entry', 'article-body', 'story', 'main'))}'>", "</div>"), ("<div class='zzcontent'>", "</div>"), ("<section class='zzcontent post'>", "</section>")))
+    mark = "zzmark"
+    open_, close = rng.choice((("<article class='zzmark'>", "</article>"), ("<main class='zzmark'>", "</main>"), (f"<div class='zzmark {rng.choice(('content', 'post', 'entry', 'article-body', 'story', 'main'))}'>", "</div>"), ("<div class='zzmark'>", "</div>"), ("<section class='zzmark post'>", "</section>")))
     body = [f"<h1>{words(3, 9)}</h1>"] * (rng.random() < 0.8)
     for _ in range(rng.randint(1, 14)):
         r = rng.random()
@@ -436,11 +451,13 @@ def generate(rng: random.Random) -> tuple[str, str]:
         else:
             body.append(rng.choice(junk[2:])())
     if rng.random() < 0.05:  # no markup at all
-        return f"<body class='zzcontent'>{words(1, rng.choice((8, 80)))}", mark
-    if rng.random() < 0.15:  # text straight in the body, parted by breaks
-        lines = [rng.choice((f"{words(4, 60)}", f"{words(4, 40)} <b>{words(1, 4)}</b> {words(2, 30)}", f"{words(4, 40)} <a href=/x>{words(1, 3)}</a> {words(2, 30)}", f"<i>{words(1, 6)}</i> {words(4, 30)}")) for _ in range(rng.randint(1, 8))]
+        return f"<body class='zzmark'>{words(20, 120)}", mark
+    if rng.random() < 0.25:  # a fragment: text and paragraphs straight in the body
+        inner = lambda: rng.choice((words(4, 60), f"{words(4, 40)} <b>{words(1, 4)}</b> {words(2, 30)}", f"{words(4, 40)} <a href=/x>{words(1, 3)}</a> {words(2, 30)}", f"<i>{words(1, 6)}</i> {words(4, 30)}"))
+        bare = rng.choice((0, 0.2, 0.5, 1))
+        lines = [inner() if rng.random() < bare else f"<p>{inner()}</p>" for _ in range(rng.randint(1, 8))]
         around = [f() for f in rng.sample(junk, rng.choice((0, 0, 1, 2)))]
-        return "<body class='zzcontent'>" + "".join(around[:1]) + rng.choice(("<br>", "<br><br>", "<p>")).join(lines) + "".join(around[1:]), mark
+        return f"<body class='zzmark'>{''.join(around[:1])}{f'<h1>{words(2, 7)}</h1>' * (rng.random() < 0.3)}{rng.choice(('', '<br>', '<br><br>')).join(lines)}{''.join(around[1:])}{''.join(f() for f in late if rng.random() < 0.2)}", mark
     before, after = [f() for f in rng.sample(junk, rng.randint(1, 4))], [f() for f in rng.sample(junk, rng.randint(0, 3))] + [f() for f in late if rng.random() < 0.6]
     wrap = rng.choice((("", ""), ("<div class='wrapper'>", "</div>"), ("<div id='page'><div class='container'>", "</div></div>")))
     head = f"<header><h2>{words(1, 4)}</h2></header>" if rng.random() < 0.4 else ""
@@ -463,7 +480,7 @@ def train(pages: list[str], seed: int = SEED, generated: int = GENERATED) -> Boo
         for n in nodes:
             inside = mark in n.tokens or (n.parent is not None and y[n.parent.order])
             y[n.order] = inside and n.tag not in ("aside", "form", "nav", "header", "footer") and not (n.tag != "p" and n.tokens - {mark} and mark not in n.tokens)
-            n.tokens = n.tokens - {"zzcontent"}
+            n.tokens = n.tokens - {"zzmark"}
         add(nodes, y)
     for page in pages:
         nodes = parse(page)
