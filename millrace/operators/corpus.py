@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.selection import seeded
 
 
 def messages(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
@@ -92,7 +93,7 @@ def order_by_difficulty(df: DataFrame, difficulty: str, order: Sequence[str], ke
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement by a hash of seed and key, so the choice doesn't depend on partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(seeded(key, seed), key).limit(n)
 
 
 def split_by_ratio(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:

@@ -92,14 +92,16 @@ def matched_cases(inputs: Column, outputs: Column) -> Column:
     return F.struct(F.transform(keys, lambda k: inputs[k]).alias("inputs"), F.transform(keys, lambda k: outputs[k]).alias("outputs"))
 
 
-def draw_weighted(df: DataFrame, weight: str, n: int, seed: int, group: str, order: str) -> DataFrame:
+def draw_weighted(df: DataFrame, weight: str, n: int, seed: int, group: str, *order: str) -> DataFrame:
     """n draws with replacement in each group, by weight: a draw falls into a row's part of the running sum.
 
+    ``order`` must tell all rows of a group apart, else their parts are not defined; the last row's part goes up to 1.
     The draws of a group are its rows' counts in intervals of the unit, so rows and draws meet without a range join."""
     w = Window.partitionBy(group)
-    upto = F.sum(weight).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
+    running = w.orderBy(*order)
+    upto = F.sum(weight).over(running.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
     unit = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = df.withColumn("_to", upto).withColumn("_from", F.lag("_to", 1, 0.0).over(w.orderBy(order)))
+    rows = df.withColumn("_to", F.when(F.lead(F.lit(1)).over(running).isNull(), 1.0).otherwise(upto)).withColumn("_from", F.lag("_to", 1, 0.0).over(running))
     draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("draw"), unit(i).alias("u")))
     hit = F.filter(draws, lambda x: (x["u"] >= F.col("_from")) & (x["u"] < F.col("_to")))
     return rows.withColumn("_d", F.explode(hit)).select(*df.columns, F.col("_d.draw").alias("draw"))

@@ -175,8 +175,8 @@ def g06b(s, d):
     return GR.mandatory_between(e, c.groupBy("uid").agg(F.lit("0").alias("source"), F.max("pos").cast("string").alias("target")))
 
 
-@register("w21_smooth_shares", """WITH pts AS (SELECT event_type AS kind, user_id % 20 AS step, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT kind, range AS place, range * 0.25 AS x FROM (SELECT DISTINCT kind FROM pts), range(0, 77)),
-n AS (SELECT g.kind, place, x, max(step) FILTER (step <= x) AS s0, arg_max(v, step) FILTER (step <= x) AS v0, min(step) FILTER (step >= x) AS s1, arg_min(v, step) FILTER (step >= x) AS v1 FROM g JOIN pts USING (kind) GROUP BY 1, 2, 3),
+@register("w21_smooth_shares", """WITH pts AS (SELECT event_type AS kind, user_id % 20 AS step, sum(value) AS v FROM events GROUP BY 1, 2), g AS (SELECT kind, range AS place, CAST(range * 0.25 AS DOUBLE) AS x FROM (SELECT DISTINCT kind FROM pts), range(0, 77)),
+n AS (SELECT g.kind, g.place, g.x, p.step AS s0, p.v AS v0, q.step AS s1, q.v AS v1 FROM g ASOF LEFT JOIN pts p ON g.kind = p.kind AND g.x >= p.step ASOF LEFT JOIN pts q ON g.kind = q.kind AND g.x <= q.step),
 dn AS (SELECT kind, place, x, CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s0 = s1 THEN v0 ELSE v0 + (v1 - v0) * (x - s0) / (s1 - s0) END AS v FROM n),
 o AS (SELECT range AS k, exp(-0.5 * power(range / 8.0, 2)) AS w FROM range(-32, 33)),
 b AS (SELECT a.kind, a.place, a.x, greatest(sum(o.w * z.v) / sum(o.w), 0) AS v FROM dn a CROSS JOIN o JOIN dn z ON z.kind = a.kind AND z.place = greatest(0, least(76, a.place + o.k)) GROUP BY 1, 2, 3)

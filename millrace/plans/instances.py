@@ -115,12 +115,13 @@ def l03(s, d):
     return N.merge_sliced({"r": table(s, d, "region")}, {"r": "1:5:2"}, "r_regionkey").select("r_regionkey")
 
 
-@register("l11_weighted_draws", f"""WITH {OUTCOMES}, w AS (SELECT uid, step, sum(score) OVER (PARTITION BY uid ORDER BY step ROWS UNBOUNDED PRECEDING) / sum(score) OVER (PARTITION BY uid) AS upto FROM outcomes),
-b AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY uid ORDER BY step), 0) AS low FROM w),
+@register("l11_weighted_draws", f"""WITH {OUTCOMES}, w AS (SELECT uid, step, traj_uid, part, price, CASE WHEN row_number() OVER o = count(*) OVER (PARTITION BY uid) THEN 1.0 ELSE sum(score) OVER o / sum(score) OVER (PARTITION BY uid) END AS upto FROM outcomes
+ WINDOW o AS (PARTITION BY uid ORDER BY step, traj_uid, part, price ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY uid ORDER BY step, traj_uid, part, price), 0) AS low FROM w),
 u AS (SELECT uid, draw, CAST(('0x' || substr(md5('5:' || uid || ':' || draw), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM (SELECT DISTINCT uid FROM outcomes), (SELECT range AS draw FROM range(1, 5)))
-SELECT b.uid, b.step, CAST(draw AS INT) AS draw FROM b JOIN u ON b.uid = u.uid AND u.u >= b.low AND u.u < b.upto""")
+SELECT b.uid, b.step, b.part, CAST(draw AS INT) AS draw FROM b JOIN u ON b.uid = u.uid AND u.u >= b.low AND u.u < b.upto""")
 def l11(s, d):
-    return N.draw_weighted(outcomes(s, d).select("uid", "step", "score"), "score", 4, 5, "uid", "step").select("uid", "step", "draw")
+    return N.draw_weighted(outcomes(s, d), "score", 4, 5, "uid", "step", "traj_uid", "part", "price").select("uid", "step", "part", "draw")
 
 
 @register("l12_draw_instances", """WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY CASE c_custkey WHEN 11 THEN 0 WHEN 5 THEN 1 ELSE 2 END, md5('3:' || c_custkey), c_custkey) - 1 AS place FROM customer)

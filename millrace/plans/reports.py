@@ -361,14 +361,17 @@ def w05(s, d):
     return GR.segment_returns(steps(s, d).withColumn("golden", F.col("reward") > 150), "golden").select("row_id", r4(F.col("ret")).alias("ret"))
 
 
-@register("w06_path_returns")
+@register("w06_path_returns", f"""WITH RECURSIVE {STEPS}, a AS (SELECT uid, traj_uid, step, anchor_obs AS u, CASE WHEN step = max(step) OVER w AND sum(reward) OVER w > 0 THEN 'success' ELSE next_obs END AS v FROM steps WINDOW w AS (PARTITION BY uid, traj_uid)),
+e AS (SELECT DISTINCT uid, u, v FROM a WHERE v IS NOT NULL), r AS (SELECT DISTINCT uid, 'success' AS state, 0 AS d FROM e UNION SELECT e.uid, e.u, r.d + 1 FROM e JOIN r ON e.uid = r.uid AND e.v = r.state WHERE r.d < 8),
+b AS (SELECT uid, state, min(d) AS d FROM r GROUP BY 1, 2), st AS (SELECT uid, u AS state FROM e UNION SELECT uid, v FROM e), f AS (SELECT uid, state, coalesce(d, max(d) OVER (PARTITION BY uid) + 1) AS d FROM st LEFT JOIN b USING (uid, state))
+SELECT a.uid, a.traj_uid, a.step, 10.0 * power(0.95, g.d - f.d + 1) AS ret FROM a JOIN f ON a.uid = f.uid AND a.u = f.state JOIN f g ON a.uid = g.uid AND a.v = g.state WHERE a.v IS NOT NULL""")
 def w06(s, d):
     e = steps(s, d)
     return GR.path_returns(e, GR.edges(e))
 
 
 # ---- limits, samples and sets ----
-@register("l02_seeded_sample")
+@register("l02_seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
 def l02(s, d):
     return C.seeded_sample(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
 
@@ -389,7 +392,7 @@ def l06(s, d):
     return C.head_percent(e, "row_id", 25, e.count(), tail=True)
 
 
-@register("l07_ratio_split")
+@register("l07_ratio_split", "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('3:' || o_orderkey), o_orderkey) <= least(greatest(1, CAST(floor(count(*) OVER () * 0.1) AS BIGINT)), greatest(count(*) OVER () - 1, 0)) THEN 'val' ELSE 'train' END AS part FROM orders")
 def l07(s, d):
     return C.split_by_ratio(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 0.1, 3)
 

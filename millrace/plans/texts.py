@@ -177,7 +177,7 @@ def f88(s, d):
     return table(s, d, "documents").filter(F.col("text").contains("the ")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@register("f07_last_boxed")
+@register("f07_last_boxed", r"""SELECT o_orderkey, regexp_extract('so \boxed{\frac{1}{' || o_custkey || '}}', '\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}', 1) AS a FROM orders""")
 def f07(s, d):
     return table(s, d, "orders").select("o_orderkey", T.last_boxed(F.concat(F.lit("so \\boxed{\\frac{1}{"), F.col("o_custkey").cast("string"), F.lit("}}"))).alias("a"))
 
@@ -370,7 +370,10 @@ def t10(s, d):
     return S.resume(o, prior, "o_orderkey").select("o_orderkey")
 
 
-@register("t12_request_states")
+@register("t12_request_states", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'tool' WHEN 'signup' THEN 'reply' WHEN 'purchase' THEN 'finish' ELSE event_type END AS event FROM events),
+t(a, b, c) AS (VALUES TRANSITION_ROWS),
+f AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'pending' AS state FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT f.user_id, e.n, coalesce(t.c, f.state) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1 LEFT JOIN t ON t.a = f.state AND t.b = e.event)
+SELECT user_id, arg_max(state, n) AS state FROM f GROUP BY user_id""".replace("TRANSITION_ROWS", ", ".join(str((a, b, c)) for (a, b), c in S.TRANSITIONS.items())))
 def t12(s, d):
     e = table(s, d, "events").select("user_id", "event_id", F.create_map(*(F.lit(x) for x in ("view", "start", "click", "tool", "signup", "reply", "purchase", "finish", "error", "error")))[F.col("event_type")].alias("event"))
     return S.request_states(e, "event_id", "event", "user_id")
