@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import commits, credit, instances, registry, reports, scores, texts  # noqa: F401
+from millrace.plans import code, commits, credit, instances, registry, reports, scores, texts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
