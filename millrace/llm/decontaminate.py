@@ -40,9 +40,11 @@ from millrace.llm.durable import checkpoint
 from millrace.llm.slices import slices, small_batches, tidy
 
 #: A copy may have one edit in so many characters of an item; the recall that repetitions are reckoned for at that rate.
-ONE_IN, RECALL = 5, 0.99
+ONE_IN, RECALL = 5, 0.98
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
 KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
+#: Tables of fewer windows than this drop walks after a quarter of the steps, too.
+SPARSE = 3000
 PART_BYTES = 2 << 20
 BATCH_BYTES = 1 << 18
 U = np.uint64
@@ -114,14 +116,14 @@ class Benchmark:
     #: Ids of the items of each text.
     ids: list[list]
     texts: list[str]
-    moves: np.ndarray
+    #: Per repetition and character: the character, and from bit 8 on whether each step moves on.
+    signs: np.ndarray
     places: np.ndarray
     bits: int
     keys: list[np.ndarray]
     owners: list[np.ndarray]
-    #: Which leading bits of keys exist after half of the steps and after all, packed.
-    half: list[np.ndarray]
-    full: list[np.ndarray]
+    #: Which leading bits of keys exist after some steps, packed.
+    maps: list[dict[int, np.ndarray]]
     #: Offsets of windows in characters.
     offsets: np.ndarray
     item_of: np.ndarray
@@ -165,7 +167,8 @@ class Benchmark:
         need = np.array([0 if e else repetitions(max(1, n), rate, recall) for n, e in zip(windows.tolist(), exact)])
         reps = int(need.max())
         rng = np.random.default_rng(SEED)
-        moves = rng.integers(0, 2, (reps, KEY_STEPS, 256)).astype(np.int64)
+        moves = rng.integers(0, 2, (reps, KEY_STEPS, 256)).astype(np.uint64)
+        signs = np.arange(256, dtype=np.uint64) + (moves << np.arange(8, 8 + KEY_STEPS, dtype=np.uint64)[:, None]).sum(axis=1, dtype=np.uint64)
         places = np.array([np.isin(np.arange(KEY_STEPS), rng.choice(KEY_STEPS, KEY_PLACES, replace=False)) for _ in range(reps)])
         bits = min(22, max(16, len(starts).bit_length() + 4))
         place = np.cumsum((buf & 0xC0) != 0x80)
@@ -180,16 +183,15 @@ class Benchmark:
         offsets = place[starts] - place[first[item]]
         near = np.minimum(first_piece[item] + (offsets + KEY_STEPS // 4) // PIECE, first_piece[item + 1] - 1) if len(starts) else starts
         near = np.where((sizes[near] < PIECE // 2) & (near > first_piece[item]), near - 1, near) if len(starts) else near
-        b = Benchmark([i for i, _ in rows], [t for _, t in rows], moves, places, bits, [], [], [], [], offsets, item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, near, pieces)
+        b = Benchmark([i for i, _ in rows], [t for _, t in rows], signs, places, bits, [], [], [], offsets, item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, near, pieces)
         for r in range(reps):
             own = np.flatnonzero(need[item] > r)
-            _, early = b.walk_keys(buf, starts[own], r, KEY_STEPS // 2)
             _, k = b.walk_keys(buf, starts[own], r, KEY_STEPS)
             order = np.argsort(k, kind="stable")
             b.keys.append(k[order])
             b.owners.append(own[order])
-            b.half.append(b.packed(early))
-            b.full.append(b.packed(k))
+            after = (KEY_STEPS // 4, KEY_STEPS // 2) if len(own) < SPARSE else (KEY_STEPS // 2,)
+            b.maps.append({j: b.packed(b.walk_keys(buf, starts[own], r, j)[1]) for j in (*after, KEY_STEPS)})
         return b
 
     def packed(self, keys: np.ndarray) -> np.ndarray:
@@ -200,18 +202,24 @@ class Benchmark:
     def leading(self, keys: np.ndarray) -> np.ndarray:
         return (keys * MIX >> U(64 - self.bits)).astype(np.int64)
 
-    def walk_keys(self, buf: np.ndarray, at: np.ndarray, rep: int, steps: int, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``at`` that are still walked, and their keys; with ``early``, half-way only those go on whose key it has."""
+    def walk_keys(self, buf: np.ndarray, at: np.ndarray, rep: int, steps: int, maps: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``at`` that are still walked, and their keys; after a step with a map only those go on whose key it has.
+
+        Each character stands with the moves of all steps after it, in one word."""
+        signs = self.signs[rep].take(buf)
         which, at, key = np.arange(len(at)), at.copy(), np.zeros(len(at), np.uint64)
+        c = np.empty(len(at), np.uint64)
         for j in range(steps):
-            if early is not None and j == KEY_STEPS // 2:
-                live = np.flatnonzero(early.take(self.leading(key)))
-                which, at, key = which[live], at[live], key[live]
-            c = buf.take(at)
+            if maps and j in maps:
+                live = np.flatnonzero(maps[j].take(self.leading(key)))
+                which, at, key, c = which[live], at[live], key[live], c[: len(live)]
+            np.take(signs, at, out=c, mode="clip")
             if self.places[rep, j]:
-                key *= MIX
-                key ^= c
-            at += self.moves[rep, j].take(c)
+                np.multiply(key, MIX, out=key)
+                np.bitwise_xor(key, c, out=key)
+            np.right_shift(c, U(8 + j), out=c)
+            np.bitwise_and(c, U(1), out=c)
+            at += c.view(np.int64)
         return which, key
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
@@ -244,9 +252,9 @@ class Benchmark:
         doc = np.searchsorted(first, starts, side="right") - 1
         whose, which = [], []
         for r, (keys, owners) in enumerate(zip(self.keys, self.owners)):
-            half, full = self._maps(r)
-            walked, k = self.walk_keys(buf, starts, r, KEY_STEPS, half)
-            maybe = np.flatnonzero(full.take(self.leading(k)))
+            maps = self._maps(r)
+            walked, k = self.walk_keys(buf, starts, r, KEY_STEPS, maps)
+            maybe = np.flatnonzero(maps[KEY_STEPS].take(self.leading(k)))
             a, b = np.searchsorted(keys, k[maybe]), np.searchsorted(keys, k[maybe], side="right")
             n = b - a
             whose.append(np.repeat(walked[maybe], n))
@@ -297,7 +305,7 @@ class Benchmark:
     def _is_near(self, codes: np.ndarray, piece: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Whether the piece about an agreeing window stands near its place, at up to four deviations above the rate of edits."""
         size = self.piece_size[piece]
-        drift = PIECE // 5
+        drift = PIECE // 6
         rate = 1 / ONE_IN
         most = rate * size + 4 * np.sqrt(rate * (1 - rate) * size)
         return self._least(codes, piece, begin + self.piece_at[piece] - drift, int(size.max()) + 2 * drift) <= most
@@ -334,10 +342,10 @@ class Benchmark:
         if edits <= limit:
             out[d].append((item, edits, max(0, low + end - len(pattern)), low + end))
 
-    def _maps(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+    def _maps(self, r: int) -> dict[int, np.ndarray]:
         cache = self.__dict__.setdefault("_unpacked", {})
         if r not in cache:
-            cache[r] = tuple(np.unpackbits(x).astype(bool) for x in (self.half[r], self.full[r]))
+            cache[r] = {j: np.unpackbits(x).astype(bool) for j, x in self.maps[r].items()}
         return cache[r]
 
     def __getstate__(self):
