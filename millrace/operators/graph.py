@@ -55,6 +55,55 @@ def distances_to(e: DataFrame, target: str = SUCCESS, weight: str | None = None)
     return states.join(d, ["uid", "state"], "left").select("uid", "state", F.coalesce("d", far).alias("d"))
 
 
+#: Distance of a target that can't be reached; a fixed value.
+NO_PATH = 51.0
+
+
+def shortest_paths(e: DataFrame, ends: DataFrame, weight: str | None = None, missing: float | None = NO_PATH) -> DataFrame:
+    """(uid, source, target, path, d) for each row of ``ends``: the lightest path of a group's graph, and its weight.
+
+    Of parallel edges the lightest counts; without ``weight`` every edge weighs one. Of paths of equal weight the one of
+    fewest edges wins, then, from the target back, the one through the smallest state. A target that can't be reached,
+    and states that the graph doesn't have, give a null path and ``missing``; a source is at distance 0 of itself.
+
+    States are relaxed from all sources at once, those that improved in a round are joined to the edges in the next, and a
+    predecessor is kept with each. Paths are then read off by ancestors 1, 2, 4, ... steps back, in as many rounds as
+    the longest path's length has binary digits; no path is carried through the relaxation."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    best = cut(e.groupBy("uid", "u", "v").agg(F.min(w).alias("w")))
+    ends = cut(ends.select("uid", "source", "target").distinct())
+    label = F.struct("d", "hops", "pred", "fresh").alias("b")
+    first = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.lit(None).cast(dict(e.dtypes)["u"]).alias("pred"), F.lit(1).alias("fresh")).alias("b")
+    reached = cut(ends.select("uid", "source").distinct().select("uid", "source", F.col("source").alias("state"), first))
+    bound, rounds = None, 0
+    while True:
+        front = reached.filter("b.fresh = 1").select("uid", "source", F.col("state").alias("u"), "b.d", "b.hops")
+        if front.isEmpty():
+            break
+        step = front.join(best, ["uid", "u"]).select("uid", "source", F.col("v").alias("state"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("pred"), F.lit(1).alias("fresh")).select("uid", "source", "state", label)
+        old = reached.withColumn("b", F.col("b").withField("fresh", F.lit(0)))
+        reached = cut(old.unionByName(step).groupBy("uid", "source", "state").agg(F.min("b").alias("b")))
+        rounds += 1
+        if weight is not None and rounds % 50 == 0:
+            bound = bound or best.select("uid", F.explode(F.array("u", "v"))).distinct().count()
+            if rounds > bound:
+                raise ValueError("a negative cycle: paths have no least weight")
+    tree = reached.select("uid", "source", "state", "b.d", "b.hops", "b.pred")
+    hit = cut(ends.join(tree.withColumnRenamed("state", "target"), ["uid", "source", "target"]).select("uid", "source", "target", "d", "hops"))
+    longest = hit.agg(F.max("hops").alias("h")).first().h or 0
+    back = [tree.filter("pred IS NOT NULL").select("uid", "source", "state", F.col("pred").alias("up"))]
+    for _ in range(1, longest.bit_length()):
+        far = back[-1].select("uid", "source", F.col("state").alias("up"), F.col("up").alias("further"))
+        back.append(cut(back[-1].join(far, ["uid", "source", "up"]).select("uid", "source", "state", F.col("further").alias("up"))))
+    places = hit.select("uid", "source", "target", F.col("target").alias("state"), F.col("hops").alias("at"))
+    for k in reversed(range(longest.bit_length())):
+        more = places.join(back[k], ["uid", "source", "state"]).select("uid", "source", "target", F.col("up").alias("state"), (F.col("at") - (1 << k)).alias("at"))
+        places = places.unionByName(more)
+    paths = places.groupBy("uid", "source", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "state"))), lambda x: x["state"]).alias("path"))
+    found = ends.join(hit, ["uid", "source", "target"], "left").join(paths, ["uid", "source", "target"], "left")
+    return found.select("uid", "source", "target", "path", F.coalesce("d", F.lit(missing)).alias("d"))
+
+
 def path_returns(steps: DataFrame, e: DataFrame, gamma: float = 0.95, scale: float = 10.0) -> DataFrame:
     """scale * gamma ** (d(next) - d(state) + 1): progress towards success along each step."""
     d = distances_to(e)

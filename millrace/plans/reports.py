@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import corpus as C
@@ -356,6 +357,43 @@ def g10(s, d):
     return GR.neighbours(GR.edges(steps(s, d)))
 
 
+def _trade(s, d):
+    """Graph of each supplier: parts that follow one another in an order, weighed by the quantity of the second."""
+    li = table(s, d, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    e = li.select((F.col("l_suppkey") % 16).alias("uid"), (F.col("l_partkey") % 97).alias("u"), (F.lead("l_partkey").over(w) % 97).alias("v"), F.lead("l_quantity").over(w).alias("weight")).filter("v IS NOT NULL AND u <> v AND (u + v) % 5 = uid % 5")
+    ends = e.groupBy("uid").agg(F.min("u").alias("low"), F.max("u").alias("high")).select("uid", F.explode(F.array(F.struct(F.col("low").alias("source"), F.col("high").alias("target")), F.struct(F.col("high").alias("source"), F.col("low").alias("target")), F.struct(F.col("low").alias("source"), F.lit(98).cast("long").alias("target")))).alias("x")).select("uid", "x.*")
+    return e, ends
+
+
+#: The same graph and the relaxation for the oracle; the caller names the weight of an edge.
+TRADE = """t AS (SELECT l_suppkey % 16 AS uid, l_partkey % 97 AS u, lead(l_partkey) OVER w % 97 AS v, lead(l_quantity) OVER w AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)),
+e AS (SELECT uid, u, v, min(WEIGHT) AS w FROM t WHERE v IS NOT NULL AND u <> v AND (u + v) % 5 = uid % 5 GROUP BY 1, 2, 3),
+m AS (SELECT uid, min(u) AS low, max(u) AS high FROM e GROUP BY uid), ends AS (SELECT uid, low AS source, high AS target FROM m UNION SELECT uid, high, low FROM m UNION SELECT uid, low, 98 FROM m),
+r(uid, source, state, d, hops, pred) USING KEY (uid, source, state) AS (SELECT DISTINCT uid, source, source, CAST(0 AS DOUBLE), 0, CAST(NULL AS BIGINT) FROM ends
+ UNION SELECT n.uid, n.source, n.state, n.b.d, n.b.hops, n.b.pred FROM (SELECT r.uid, r.source, e.v AS state, min({'d': r.d + e.w, 'hops': r.hops + 1, 'pred': r.state}) AS b FROM r JOIN e ON e.uid = r.uid AND e.u = r.state GROUP BY 1, 2, 3) n
+ LEFT JOIN recurring.r o ON o.uid = n.uid AND o.source = n.source AND o.state = n.state WHERE o.d IS NULL OR n.b.d < o.d OR (n.b.d = o.d AND n.b.hops < o.hops) OR (n.b.d = o.d AND n.b.hops = o.hops AND n.b.pred < o.pred)),
+p AS (SELECT ends.*, r.d, r.pred AS node, [target] AS path FROM ends JOIN r ON r.uid = ends.uid AND r.source = ends.source AND r.state = ends.target
+ UNION ALL SELECT p.uid, p.source, p.target, p.d, r.pred, list_prepend(p.node, p.path) FROM p JOIN r ON r.uid = p.uid AND r.source = p.source AND r.state = p.node)
+SELECT ends.uid, ends.source, ends.target, array_to_string(path, '>') AS path, coalesce(d, MISSING) AS d FROM ends LEFT JOIN (SELECT * FROM p WHERE node IS NULL) p ON p.uid = ends.uid AND p.source = ends.source AND p.target = ends.target"""
+
+
+def _shown(paths):
+    return paths.withColumn("path", F.array_join("path", ">"))
+
+
+@register("g02_shortest_paths", f"WITH RECURSIVE {TRADE.replace('WEIGHT', '1').replace('MISSING', 'NULL')}")
+def g02(s, d):
+    e, ends = _trade(s, d)
+    return _shown(GR.shortest_paths(e, ends, missing=None))
+
+
+@register("g04_lightest_paths", f"WITH RECURSIVE {TRADE.replace('WEIGHT', 'q').replace('MISSING', '51')}")
+def g04(s, d):
+    e, ends = _trade(s, d)
+    return _shown(GR.shortest_paths(e, ends, "weight"))
+
+
 @register("w05_segment_returns", f"WITH {STEPS}, g AS (SELECT *, sum(CASE WHEN reward > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY uid, traj_uid ORDER BY step DESC) AS sg FROM steps) SELECT row_id, round(CASE WHEN sg = 0 THEN 0 ELSE 10 * power(0.95, max(step) OVER (PARTITION BY uid, traj_uid, sg) - step) END, 4) AS ret FROM g")
 def w05(s, d):
     return GR.segment_returns(steps(s, d).withColumn("golden", F.col("reward") > 150), "golden").select("row_id", r4(F.col("ret")).alias("ret"))
