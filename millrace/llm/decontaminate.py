@@ -40,7 +40,7 @@ from millrace.llm.durable import checkpoint
 from millrace.llm.slices import slices, small_batches, tidy
 
 #: A copy may have one edit in so many characters of an item; the recall that repetitions are reckoned for at that rate.
-ONE_IN, RECALL = 5, 0.98
+ONE_IN, RECALL = 5, 0.95
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
 KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
 #: Tables of fewer windows than this drop walks after a quarter of the steps, too.
