@@ -17,6 +17,7 @@ from millrace.plans.views import STEPS, steps
 from millrace.session import table
 from millrace.sources import readers, writers
 from millrace.streaming import events as S
+from millrace.streaming import keyed as K
 
 
 def r4(c):
@@ -363,6 +364,33 @@ def t07(s, d):
     return b.select((F.col("i") + 1).cast("long").alias("i"), F.round("beta", 6).alias("beta"))
 
 
+@register("t03_gate_stream", "SELECT CAST(user_id AS VARCHAR) AS traj, event_id AS place, event_type AS name, coalesce(lag(CAST(floor(value / 100) AS INT)) OVER (PARTITION BY user_id, event_type ORDER BY event_id) <> CAST(floor(value / 100) AS INT), true) AS changed FROM events")
+def t03(s, d):
+    source = F.floor(F.col("value") / 100).cast("string")
+    with K.state_store(s):
+        return S.run_to_memory(K.gate_changes(_stream(s, d), "user_id", "event_id", F.col("event_type"), source, F.lit(False)), "gate_" + uuid.uuid4().hex, "append", _folder(s))
+
+
+@register("t06_locked_ids", """WITH f AS (SELECT event_type AS run, 'u' || user_id AS id, min(event_id) AS place FROM events GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY place, id) - 1 AS INT) AS rank FROM f)
+SELECT run, rank, id FROM r WHERE rank < 5""")
+def t06(s, d):
+    rows = _stream(s, d).withColumn("id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    with K.state_store(s):
+        return S.run_to_memory(K.lock_ids(rows, "event_type", "event_id", "id", 5), "lock_" + uuid.uuid4().hex, "append", _folder(s))
+
+
+@register("t08_late_rewards", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 90 <= 60 THEN value END AS reward FROM events")
+def t08(s, d):
+    e = table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(None).cast("double").alias("value"))  # the last watermark
+    steps, rewards = _folder(s), _folder(s)
+    e.unionByName(end).select("event_id", "ts").write.parquet(steps)
+    late = e.filter("event_id % 3 <> 0").withColumn("ts", F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int")))
+    late.unionByName(end).select("event_id", F.col("ts").alias("rewarded_at"), F.col("value").alias("reward")).write.parquet(rewards)
+    joined = K.with_late_rewards(s.readStream.schema("event_id long, ts timestamp").parquet(steps), s.readStream.schema("event_id long, rewarded_at timestamp, reward double").parquet(rewards), "event_id", "ts", "rewarded_at", "60 MINUTES")
+    return S.run_to_memory(joined, "rewards_" + uuid.uuid4().hex, "append", _folder(s)).filter("event_id >= 0").select("event_id", "reward")
+
+
 @register("t10_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'F'")
 def t10(s, d):
     o = table(s, d, "orders")
