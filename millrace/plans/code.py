@@ -1,10 +1,11 @@
-"""Queries of source code made from the test tables' texts: units of syntax and snippets of responses."""
+"""Queries of source code made from the test tables' texts (units of syntax, snippets of responses) and of validation metrics."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.functions import syntax as Y
+from millrace.operators import validation as V
 from millrace.plans.registry import register
 from millrace.session import table
 
@@ -36,3 +37,30 @@ UNION ALL SELECT conv_id, turn, 'fallback', level, signature, CAST(o + a AS INT)
 def x12(s, d):
     c = _code(s, d).withColumn("id", F.struct("conv_id", "turn")).withColumn("response", F.concat(F.lit("<edit path='c"), F.col("conv_id").cast("string"), F.lit(".py'><code>"), "code", F.lit("</code></edit>")))
     return Y.response_snippets(c, "id", "response").select("id.*", "origin", "level", "signature", "char_start", "char_end", "size")
+
+
+# ---- validation metrics: turns of a conversation as the responses to one prompt ----
+def _turns(s, d):
+    c = table(s, d, "conversations").filter("text IS NOT NULL")
+    return c.select((F.col("conv_id") % 3).alias("source"), "conv_id", "turn", F.length("text").cast("double").alias("chars"), F.size(F.split("text", " ")).cast("double").alias("words"), (F.length("text") % 3).cast("string").alias("vote"))
+
+
+#: The tables of indices for up to ten responses, a digit an index; they follow from the seed.
+DRAWS = ", ".join(f"({n}, {k}, '{''.join(map(str, V.draw_indices(n, k).ravel()))}')" for n in range(2, 9) for k in V.subset_sizes(n))
+METRICS_SQL = f"""WITH c AS (SELECT conv_id % 3 AS source, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, CAST(length(text) AS DOUBLE) AS chars, CAST(len(string_split(text, ' ')) AS DOUBLE) AS words, length(text) % 3 AS vote FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT source, conv_id, i, n, vote, 'chars' AS variable, chars AS v FROM c UNION ALL SELECT source, conv_id, i, n, vote, 'words', words FROM c),
+m(n, k, s) AS (VALUES {DRAWS}), e AS (SELECT n, k, s, unnest(range(0, CAST(length(s) AS BIGINT))) AS j FROM m), d AS (SELECT n, k, j // k AS draw, j % k AS pos, CAST(substr(s, CAST(j + 1 AS INT), 1) AS INT) AS i FROM e),
+x AS (SELECT l.source, l.conv_id, l.variable, d.k, d.draw, d.pos, l.v, l.vote FROM l JOIN d ON d.n = l.n AND d.i = l.i),
+b AS (SELECT source, conv_id, variable, k, draw, max(v) AS best, min(v) AS worst FROM x GROUP BY ALL), t AS (SELECT source, conv_id, variable, k, draw, vote, count(*) AS votes, min(pos) AS pos, arg_min(v, pos) AS v FROM x GROUP BY ALL),
+j AS (SELECT source, conv_id, variable, k, draw, v AS maj FROM (SELECT *, row_number() OVER (PARTITION BY source, conv_id, variable, k, draw ORDER BY votes DESC, pos) AS r FROM t) WHERE r = 1),
+p AS (SELECT source, conv_id, variable, 'mean@' || n AS metric, avg(v) AS value FROM l GROUP BY source, conv_id, variable, n UNION ALL SELECT source, conv_id, variable, 'std@' || n, stddev_pop(v) FROM l WHERE n > 1 GROUP BY source, conv_id, variable, n
+ UNION ALL SELECT source, conv_id, variable, 'best@' || k || '/mean', avg(best) FROM b GROUP BY source, conv_id, variable, k UNION ALL SELECT source, conv_id, variable, 'best@' || k || '/std', stddev_pop(best) FROM b GROUP BY source, conv_id, variable, k
+ UNION ALL SELECT source, conv_id, variable, 'worst@' || k || '/mean', avg(worst) FROM b GROUP BY source, conv_id, variable, k UNION ALL SELECT source, conv_id, variable, 'worst@' || k || '/std', stddev_pop(worst) FROM b GROUP BY source, conv_id, variable, k
+ UNION ALL SELECT source, conv_id, variable, 'maj@' || k || '/mean', avg(maj) FROM j GROUP BY source, conv_id, variable, k UNION ALL SELECT source, conv_id, variable, 'maj@' || k || '/std', stddev_pop(maj) FROM j GROUP BY source, conv_id, variable, k)
+SELECT source, variable, metric, round(avg(value), 7) AS value FROM p GROUP BY source, variable, metric"""
+
+
+@register("a57_validation_metrics", METRICS_SQL)
+def a57b(s, d):
+    m = V.validation_metrics(_turns(s, d), "source", "conv_id", "turn", ["chars", "words"], vote="vote")
+    return m.select("source", "variable", "metric", (F.round("value", 7) + 0.0).alias("value"))
