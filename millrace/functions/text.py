@@ -291,21 +291,30 @@ DIFF = _rows(path=T.StringType(), old_start=T.IntegerType(), new_start=T.Integer
 
 @F.pandas_udf(DIFF)
 def parse_diff(text: pd.Series) -> pd.Series:
-    """Lines of a unified diff: path, hunk starts, kind (added, deleted, context) and number on its own side."""
+    """Lines of a unified diff: path, hunk starts, kind (added, deleted, context) and number on its own side.
+
+    A hunk's header says how many lines it has on either side, so its lines may look like file headers. A deleted file has its old path."""
 
     def one(s: str | None) -> list[dict]:
-        out, path, old, new, o, n = [], "", 0, 0, 0, 0
+        out, path, before = [], "", ""
+        old = new = o = n = o_left = n_left = 0
         for x in (s or "").split("\n"):
-            if x.startswith("+++ "):
-                path = re.sub(r"^[ab]/", "", x[4:].split("\t")[0])
-            elif m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", x):
-                old, new = int(m[1]), int(m[2])
-                o, n = old, new
-            elif old and x[:1] in ("+", "-", " ") and not x.startswith("--- "):
-                kind = {"+": "added", "-": "deleted", " ": "context"}[x[0]]
+            kind = {"+": "added", "-": "deleted", " ": "context"}.get(x[:1]) if o_left > 0 or n_left > 0 else None
+            if kind:
                 out.append({"path": path, "old_start": old, "new_start": new, "kind": kind, "content": x[1:], "line": o if kind == "deleted" else n})
-                o += kind != "added"
-                n += kind != "deleted"
+                was, now = int(kind != "added"), int(kind != "deleted")
+                o, n, o_left, n_left = o + was, n + now, o_left - was, n_left - now
+            elif m := re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", x):
+                old, new = o, n = int(m[1]), int(m[3])
+                o_left, n_left = int(m[2] or 1), int(m[4] or 1)
+            elif x.startswith(("--- ", "+++ ")):
+                name = x[4:].split("\t")[0]
+                if x[0] == "-":
+                    before = name
+                elif name == "/dev/null":
+                    name = before
+                path = re.sub(r"^[ab]/", "", name)
+                o_left = n_left = 0
         return out
 
     return text.map(one)

@@ -195,7 +195,13 @@ def balance_to(df: DataFrame, divisor: int, mode: str = "copy", seed: int = 0) -
 
 def position_ids(mask: Column) -> Column:
     """max(running sum - 1, 0) of a 0/1 array."""
-    return F.transform(mask, lambda _, i: F.greatest(F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda a, x: a + x.cast("int")) - 1, F.lit(0)))
+    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + x.cast("int")
+        return F.struct(n.alias("n"), F.concat(s["ids"], F.array(F.greatest(n - 1, F.lit(0)))).alias("ids"))
+
+    return F.aggregate(mask, zero, step, lambda s: s["ids"])
 
 
 def response_mask(mask: Column, length: int) -> Column:

@@ -1,10 +1,11 @@
-"""Queries of source code made from the test tables' texts (units of syntax, snippets of responses) and of validation metrics."""
+"""Queries of source code made from the test tables' texts (units of syntax, snippets of responses) of validation metrics and of similar texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from millrace.functions import syntax as Y
+from millrace.operators import similar as SM
 from millrace.operators import validation as V
 from millrace.plans.registry import register
 from millrace.session import table
@@ -64,3 +65,21 @@ SELECT source, variable, metric, round(avg(value), 7) AS value FROM p GROUP BY s
 def a57b(s, d):
     m = V.validation_metrics(_turns(s, d), "source", "conv_id", "turn", ["chars", "words"], vote="vote")
     return m.select("source", "variable", "metric", (F.round("value", 7) + 0.0).alias("value"))
+
+
+# ---- similar texts: whole messages of one role ----
+def _messages(s, d):
+    return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text")
+
+
+@register("j12_text_classes", "SELECT role, conv_id * 1000 + turn AS row_id, min(conv_id * 1000 + turn) OVER (PARTITION BY role, text) AS representative FROM conversations")
+def j12c(s, d):
+    return SM.text_classes(_messages(s, d), "row_id", "text", "role")
+
+
+@register("j12_similar_pairs")
+def j12b(s, d):
+    """Whole messages, and each without its last word, by conversation and role."""
+    m = table(s, d, "conversations").select("conv_id", "role", F.col("turn").alias("row_id"), "text")
+    cut = m.select("conv_id", "role", (F.col("row_id") + 1000).alias("row_id"), F.regexp_replace("text", "[ \n][^ \n]*$", "").alias("text"))
+    return SM.similar_pairs(m.unionByName(cut), "row_id", "text", 0.95, "conv_id", "role")
