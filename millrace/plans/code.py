@@ -1,4 +1,4 @@
-"""Queries of source code made from the test tables' texts (units of syntax, snippets of responses) of validation metrics and of similar texts."""
+"""Queries of source code made from the test tables' texts, of validation metrics, similar texts and trajectory logs."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from millrace.functions import syntax as Y
 from millrace.operators import similar as SM
 from millrace.operators import validation as V
+from millrace.operators.state import shared_folder
 from millrace.plans.registry import register
 from millrace.session import table
+from millrace.sources import trajectories as TR
 
 
 def _code(s, d):
@@ -83,3 +85,27 @@ def j12b(s, d):
     m = table(s, d, "conversations").select("conv_id", "role", F.col("turn").alias("row_id"), "text")
     cut = m.select("conv_id", "role", (F.col("row_id") + 1000).alias("row_id"), F.regexp_replace("text", "[ \n][^ \n]*$", "").alias("text"))
     return SM.similar_pairs(m.unionByName(cut), "row_id", "text", 0.95, "conv_id", "role")
+
+
+# ---- trajectory logs with bad lines: events as JSON lines, of which every seventh is cut short ----
+def _log(s, d):
+    e = table(s, d, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("traj_id"), F.col("event_id").alias("step"), F.col("event_type").alias("action"), F.col("value").alias("reward"))).alias("line"))
+    at = shared_folder(s, "query")
+    e.select(F.when(F.col("event_id") % 7 == 0, F.left("line", F.length("line") - 3)).otherwise(F.col("line")).alias("value")).write.text(at)
+    return at
+
+
+@register("s14_records", "SELECT user_id AS traj_id, event_id AS step, event_type AS action, value AS reward FROM events WHERE event_id % 7 <> 0")
+def s14(s, d):
+    return TR.read_records(s, _log(s, d), "traj_id bigint, step bigint, action string, reward double")[0]
+
+
+@register("s14_bad_lines", "SELECT count(*) AS lines, count(*) FILTER (event_id % 7 = 0) AS bad FROM events")
+def s14b(s, d):
+    return TR.read_records(s, _log(s, d), "traj_id bigint, step bigint, action string, reward double")[1].agg(F.sum("lines").alias("lines"), F.sum("bad").alias("bad"))
+
+
+@register("x06_custom_source", "SELECT CASE WHEN event_id % 7 <> 0 THEN event_type END AS action, count(*) AS n, round(sum(CASE WHEN event_id % 7 <> 0 THEN value END), 4) AS total FROM events GROUP BY 1")
+def x06(s, d):
+    TR.register(s)
+    return s.read.format("trajectory_log").load(_log(s, d)).groupBy("action").agg(F.count("*").alias("n"), F.round(F.sum("reward"), 4).alias("total"))
