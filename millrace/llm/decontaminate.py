@@ -113,8 +113,8 @@ def window_starts(buf: np.ndarray) -> np.ndarray:
 class Benchmark:
     """LSH tables of one part of the items."""
 
-    #: Ids of the items of each text.
-    ids: list[list]
+    #: Of each text the first item's id.
+    ids: list
     texts: list[str]
     #: Per repetition and character: the character, and from bit 8 on whether each step moves on.
     signs: np.ndarray
@@ -137,6 +137,8 @@ class Benchmark:
     piece_of: np.ndarray
     #: Pieces of items that are searched for exactly, by length: piece to (item, offset).
     pieces: dict[int, dict[str, list[tuple[int, int]]]]
+    #: Of each text the ids of all items that have it.
+    shared: list[list]
 
     @staticmethod
     def build(rows: list[tuple], rate: float = 1 / ONE_IN, recall: float = RECALL) -> Benchmark | None:
@@ -183,7 +185,7 @@ class Benchmark:
         offsets = place[starts] - place[first[item]]
         near = np.minimum(first_piece[item] + (offsets + KEY_STEPS // 4) // PIECE, first_piece[item + 1] - 1) if len(starts) else starts
         near = np.where((sizes[near] < PIECE // 2) & (near > first_piece[item]), near - 1, near) if len(starts) else near
-        b = Benchmark([i for i, _ in rows], [t for _, t in rows], signs, places, bits, [], [], [], offsets, item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, near, pieces)
+        b = Benchmark([ids[0] for ids, _ in rows], [t for _, t in rows], signs, places, bits, [], [], [], offsets, item, first_piece, limits, np.array([p for _, p, _ in cut]), sizes, masks, near, pieces, [ids for ids, _ in rows])
         for r in range(reps):
             own = np.flatnonzero(need[item] > r)
             _, k = b.walk_keys(buf, starts[own], r, KEY_STEPS)
@@ -377,7 +379,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
             for batch in (s for b_ in batches for s in slices(b_, 1)):
                 ids = batch.column(0).to_pylist()
                 hits = b.search([normal(x) for x in batch.column(1).to_pylist()])
-                rows = [(ids[k], i, *rest) for k, own in enumerate(hits) for item, *rest in own for i in b.ids[item]]
+                rows = [(ids[k], i, *rest) for k, own in enumerate(hits) for item, *rest in own for i in b.shared[item]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["doc_id", "item_id", "edits", "start", "end"])
 
         found = found.unionByName(rows.mapInArrow(tidy(run), LEAK))
