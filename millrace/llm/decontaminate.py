@@ -41,6 +41,8 @@ from millrace.llm.slices import slices, small_batches, tidy
 
 #: A copy may have one edit in so many characters of an item; the recall that repetitions are reckoned for at that rate.
 ONE_IN, RECALL = 5, 0.95
+#: Items of fewer windows than FEW have no slack in that reckoning; their tables are sparse, so a higher recall costs little.
+FEW, FEW_RECALL = 16, 0.99
 MIN_WINDOWS, LONG_RUN, SEED = 4, 20, 9
 KEY_STEPS, KEY_PLACES, PIECE = 24, 15, 64
 #: Tables of fewer windows than this drop walks after a quarter of the steps, too.
@@ -166,7 +168,7 @@ class Benchmark:
             cuts = [len(t) * i // n for i in range(n + 1)]
             for p, q in zip(cuts, cuts[1:]):
                 pieces.setdefault(q - p, {}).setdefault(t[p:q], []).append((k, p))
-        need = np.array([0 if e else repetitions(max(1, n), rate, recall) for n, e in zip(windows.tolist(), exact)])
+        need = np.array([0 if e else repetitions(max(1, n), rate, max(recall, FEW_RECALL) if n < FEW else recall) for n, e in zip(windows.tolist(), exact)])
         reps = int(need.max())
         rng = np.random.default_rng(SEED)
         moves = rng.integers(0, 2, (reps, KEY_STEPS, 256)).astype(np.uint64)
