@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.groupstats import groupability
-from millrace.operators.joins import pair_budget
+from millrace.operators.joins import pair_budget, similar_groups
 
 
 class Occurrence(NamedTuple):
@@ -167,10 +167,19 @@ def rescore(members: DataFrame, *keys: str, size: str = "size", s0: float = 8.0,
     return g.withColumn("gs", groupability(F.col("mean_size"), F.col("n"), s0, ref, form)).filter("n > 1 AND gs > 0")
 
 
-def fallback_groups(snippets: DataFrame, level: int, *keys: str) -> DataFrame:
-    """Eligible snippets (of the level, changed, not roots) with group_id: the least row of those with the same keys and source."""
+def fallback_groups(snippets: DataFrame, level: int, *keys: str, threshold: float | None = None) -> DataFrame:
+    """Eligible snippets (of the level, changed, not roots) with group_id: the least row of those with the same keys and source.
+
+    With a ``threshold`` sources needn't be equal: in order of their least rows, each joins the first group of its keys whose first
+    source is similar enough. Copies are compared once."""
     ok = snippets.filter((F.col("level") == level) & F.coalesce("changed", F.lit(True)) & (F.coalesce("origin", F.lit("")) != "root"))
-    return ok.withColumn("group_id", F.min("row_id").over(Window.partitionBy(*keys, F.md5("source"))))
+    exact = ok.withColumn("group_id", F.min("row_id").over(Window.partitionBy(*keys, F.md5("source"))))
+    if threshold is None or threshold >= 1:
+        return exact
+    heads = exact.filter("row_id = group_id").select(*keys, F.col("row_id").alias("_head"), "source").distinct()
+    first = similar_groups(heads, "source", "_head", threshold, *keys)
+    merged = first.select(*keys, F.col("_head").alias("group_id"), F.min("_head").over(Window.partitionBy(*keys, "cluster")).alias("_group"))
+    return exact.join(merged, [*keys, "group_id"]).drop("group_id").withColumnRenamed("_group", "group_id")
 
 
 def spread_credit(tokens: DataFrame, spans: DataFrame, weight: float = 1.0, base: str = "advantage", mask: str = "mask") -> DataFrame:

@@ -6,18 +6,24 @@ from pyspark.sql import functions as F
 from millrace.operators import anchors as A
 from millrace.operators.joins import pair_budget
 
-SHARED = ["def helper(x):", "    return x + 1"]
-BODIES = [SHARED + ["def solve(a):", f"    return helper(a){end}"] for end in ("", "", " * 2", " * 2")]
+COMMON = ["for line in sys.stdin:", "    total += int(line)", "total //= 3"]
+TAILS = [["print(total)"], ["sys.exit(total)"], ["print(total)", "log.close()"], []]
+ANSWERS = [COMMON + tail for tail in TAILS]
 
 
-def test_shared_lines_are_anchors_without_overlap():
-    found = A.anchors_of_prompt([(i, 0, "none", b) for i, b in enumerate(BODIES)], similar=0.9)
-    assert found and max(map(len, found)) >= 2
-    for row in range(4):
-        spans = sorted((o.first, o.end) for g in found for o in g if o.row == row)
-        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    assert A.anchors_of_prompt([(0, 0, "none", SHARED)]) == [] and A.anchors_of_prompt([]) == []
-    assert A.anchors_of_prompt([(i, 0, "none", [f"line {i}"]) for i in range(3)], similar=1.0) == []
+def test_common_lines_are_one_anchor_of_all_answers():
+    found = A.anchors_of_prompt([(row, 0, "none", lines) for row, lines in enumerate(ANSWERS)], similar=1.0)
+    widest = max(found, key=len)
+    assert {o.row for o in widest} == {0, 1, 2, 3} and {o.text for o in widest} == {"\n".join(COMMON)}
+    places = [(o.row, k) for g in found for o in g for k in range(o.first, o.end)]
+    assert len(places) == len(set(places))  # no line lies in two anchors
+
+
+def test_nothing_in_common():
+    alone = [(0, 0, "none", COMMON)]
+    different = [(k, 0, "none", [f"value_{k} = {k}"]) for k in range(4)]
+    for roots in ([], alone, different, [(0, 0, "none", []), (1, 0, "none", [])]):
+        assert A.anchors_of_prompt(roots, similar=1.0) == []
 
 
 def test_blocks():
@@ -39,7 +45,7 @@ def test_merge_attaches_once():
 
 
 def test_credit_of_grouped_tokens(spark):
-    rows = [(0, i, 0, "none", SHARED) for i in range(4)]
+    rows = [(0, i, 0, "none", COMMON) for i in range(4)]
     roots = spark.createDataFrame(rows, "uid int, row_id long, root int, edit_type string, lines array<string>")
     rewards = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 0.0), (3, 0.0)], "row_id long, reward double")
     credit = A.anchor_credit(A.find_anchors(roots, similar=1.0), rewards)
@@ -51,15 +57,27 @@ def test_credit_of_grouped_tokens(spark):
     assert A.diagnostics(credit).first().asDict() == {"n_anchors": 1, "mean_group_size": 4.0, "median_group_size": 4.0, "n_occurrences": 4}
 
 
+FALLBACK = "row_id long, uid int, level int, changed boolean, origin string, signature string, source string"
+
+
+def group_sizes(spark, sources, uids, changed=None, **options):
+    rows = [(i, u, 1, True if changed is None else changed[i], "fallback", "stmt::Return", x) for i, (u, x) in enumerate(zip(uids, sources))]
+    found = A.fallback_groups(spark.createDataFrame(rows, FALLBACK), 1, "uid", "signature", **options)
+    return sorted(r["count"] for r in found.groupBy("uid", "group_id").count().collect())
+
+
 def test_fallback_groups(spark):
-    bodies = ["return a + b"] * 4 + ["return a - b"]
+    sources = ["yield top(heap)"] * 4 + ["yield None"]
+    assert group_sizes(spark, sources, [7] * 5) == [1, 4]
+    assert group_sizes(spark, sources, [7, 7, 8, 8, 8]) == [1, 2, 2]
+    assert group_sizes(spark, sources, [7] * 5, [False, True, True, True, True]) == [1, 3]
 
-    def sizes(uids, changed=(True,) * 5):
-        rows = [(i, u, 1, c, "part", "sig", b) for i, (u, c, b) in enumerate(zip(uids, changed, bodies))]
-        x = A.fallback_groups(spark.createDataFrame(rows, "row_id long, uid int, level int, changed boolean, origin string, signature string, source string"), 1, "uid", "signature")
-        return sorted(r["count"] for r in x.groupBy("uid", "group_id").count().collect())
 
-    assert sizes([0] * 5) == [1, 4] and sizes([0, 0, 1, 1, 1]) == [1, 2, 2] and sizes([0] * 5, (False, *[True] * 4)) == [1, 3]
+def test_fallback_groups_by_similarity(spark):
+    sources = ["yield top(heap)", "yield top(heap2)", "yield None", "yield top(heaps)", "yield None"]
+    assert group_sizes(spark, sources, [7] * 5) == [1, 1, 1, 2]
+    assert group_sizes(spark, sources, [7] * 5, threshold=0.8) == [2, 3]
+    assert group_sizes(spark, sources, [7, 7, 7, 8, 8], threshold=0.8) == [1, 1, 1, 2]
 
 
 @pytest.mark.parametrize("n, budget, size", [(1, 5, 0), (5, 0, 0), (5, -1, 10), (5, 10, 10), (30, 64, 64)])
