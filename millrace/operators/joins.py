@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain, combinations, islice
 
 import pandas as pd
@@ -85,6 +85,26 @@ def pair_budget(n: int, max_pairs: int) -> list[tuple[int, int]]:
     return list(islice(chain(starred, strided), max_pairs))
 
 
+def budgeted_pairs(df: DataFrame, order: str, max_pairs: int, *keys: str) -> DataFrame:
+    """(keys, a, b): pairs of each group's rows within a budget (``pair_budget``), named by ``order``, which tells a group's rows apart.
+
+    Which places are paired depends only on a group's size, so each size that occurs has one table of pairs, joined by size;
+    a budget keeps it short, and no pair outside of it is ever made."""
+    w = Window.partitionBy(*keys)
+    placed = df.select(*keys, F.col(order).alias("_row"), (F.row_number().over(w.orderBy(order)) - 1).cast("int").alias("_at"), F.count("*").over(w).cast("int").alias("_n"))
+    kind = dict(df.dtypes)[order]
+    rows = placed.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_row"))).alias("_rows"))
+
+    def tables(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for n in part["_n"]:
+                pairs = pair_budget(int(n), max_pairs)
+                yield pd.DataFrame({"_n": int(n), "_i": [i for i, _ in pairs], "_j": [j for _, j in pairs]}).astype("int32")
+
+    sizes = placed.select("_n").distinct().mapInPandas(tables, "_n int, _i int, _j int")
+    return rows.join(sizes, "_n").select(*keys, F.col("_rows")[F.col("_i")].cast(kind).alias("a"), F.col("_rows")[F.col("_j")].cast(kind).alias("b"))
+
+
 def interval_overlap(spans: DataFrame, pieces: DataFrame, key: str, start: str = "s", end: str = "e", p_start: str = "start_at", p_end: str = "end_at", pos: str = "pos") -> DataFrame:
     """First piece and one past the last that a span overlaps, -1 and -1 if none: an equi join on the key, then a range."""
     j = spans.join(pieces, key, "left").withColumn("_in", (F.col(p_end) > F.col(start)) & (F.col(p_start) < F.col(end)))

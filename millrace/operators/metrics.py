@@ -145,6 +145,22 @@ def greedy_partition(lengths: Sequence[int], k: int) -> list[int]:
     return out
 
 
+def greedy_parts(df: DataFrame, length: str, k: int, order: str, *keys: str) -> DataFrame:
+    """(keys, order, part): each row of a batch, in order, goes to the part with the least sum, the first of equals.
+
+    A fold over the batch's rows in one row, as ``greedy_partition`` does it for a list; batches are bounded."""
+    item = F.struct(F.col(order).alias("o"), F.col(length).cast("double").alias("n"))
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_r"))
+    zero = F.struct(F.array_repeat(F.lit(0.0), k).alias("sums"), F.array().cast("array<int>").alias("parts"))
+
+    def step(s: Column, x: Column) -> Column:
+        least = F.array_position(s["sums"], F.array_min(s["sums"])).cast("int") - 1
+        return F.struct(F.transform(s["sums"], lambda v, i: F.when(i == least, v + x["n"]).otherwise(v)).alias("sums"), F.concat(s["parts"], F.array(least)).alias("parts"))
+
+    parts = F.aggregate("_r", zero, step, lambda s: s["parts"])
+    return g.select(*keys, F.explode(F.zip_with("_r", parts, lambda r, p: F.struct(r["o"].alias(order), p.alias("part")))).alias("_x")).select(*keys, "_x.*")
+
+
 def balanced_parts(df: DataFrame, length: str, k: int, *keys: str, row: str = "row_id", equal: bool = False) -> DataFrame:
     """part of each row of a batch (``keys``), balanced by length; a batch is bounded and handled in one task."""
     kinds = dict(df.dtypes)

@@ -184,6 +184,16 @@ def a79(s, d):
     return M.balanced_parts(o, "n", 4, "batch")
 
 
+@register("a80_parts_of_batches", """WITH RECURSIVE r AS (SELECT l_orderkey AS uid, l_linenumber * 1000000 + l_partkey AS item, l_quantity AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey, l_quantity) AS i FROM lineitem),
+f AS (SELECT DISTINCT uid, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS item, CAST(NULL AS INT) AS part, CAST(0 AS DOUBLE) AS s0, CAST(0 AS DOUBLE) AS s1, CAST(0 AS DOUBLE) AS s2 FROM r
+ UNION ALL SELECT uid, i, item, part, s0 + CASE WHEN part = 0 THEN n ELSE 0 END, s1 + CASE WHEN part = 1 THEN n ELSE 0 END, s2 + CASE WHEN part = 2 THEN n ELSE 0 END
+ FROM (SELECT f.uid, r.i, r.item, r.n, CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END AS part, s0, s1, s2 FROM f JOIN r ON r.uid = f.uid AND r.i = f.i + 1))
+SELECT uid, item, part FROM f WHERE i > 0""")
+def a80b(s, d):
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("uid"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("item"), "l_quantity")
+    return M.greedy_parts(li, "l_quantity", 3, "item", "uid")
+
+
 @register("a81_micro_batch_count", "SELECT source, CAST(least(count(*), ceil(sum(n_chars) / 5000)) AS BIGINT) AS n_micro FROM documents GROUP BY 1")
 def a81(s, d):
     return M.micro_batch_count(table(s, d, "documents"), "n_chars", 5000, "source")
@@ -268,6 +278,14 @@ def j10(s, d):
     return J.contrast_mean(o, "uid", "score", "f").select("uid", "part", "price", r4(F.col("contrast")).alias("contrast"))
 
 
+@register("j11_pairs_of_groups", f"""WITH r AS (SELECT l_orderkey AS uid, l_linenumber * 1000000 + l_partkey AS item, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey)),
+p AS (SELECT a.uid, a.item AS a, b.item AS b, row_number() OVER (PARTITION BY a.uid ORDER BY a.i, b.i) AS k, a.i, a.n FROM r a JOIN r b ON a.uid = b.uid AND a.i < b.i)
+SELECT uid, a, b FROM p WHERE n * (n - 1) / 2 <= 10 OR (i < least(n - 1, 4) AND k <= 10)""")
+def j11b(s, d):
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("uid"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("item"))
+    return J.budgeted_pairs(li, "item", 10, "uid")
+
+
 @register("j13_interval_overlap", "WITH p AS (SELECT conv_id, turn AS pos, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS a, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), s AS (SELECT DISTINCT conv_id, 50 AS s, 400 AS e FROM conversations) SELECT s.conv_id, CAST(coalesce(min(pos) FILTER (b > s AND a < e), -1) AS BIGINT) AS first_piece, CAST(coalesce(max(pos) FILTER (b > s AND a < e) + 1, -1) AS BIGINT) AS past_piece FROM s LEFT JOIN p USING (conv_id) GROUP BY 1")
 def j13(s, d):
     c = table(s, d, "conversations")
