@@ -320,6 +320,29 @@ def f23(s, d):
     return x.select("i", G.parse_action(F.col("t")).alias("a")).select("i", "a.type", "a.mode", "a.valid")
 
 
+@register("f15_grades_of_orders", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 7 = o_orderkey % 7 WHEN 1 THEN true WHEN 2 THEN false ELSE o_custkey % 3 = 0 END AS ok FROM orders""")
+def f15b(s, d):
+    """Pairs of numbers in brackets, whole numbers with a zero fraction, open against closed intervals, and plain numbers."""
+    o, c, k = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 4
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    given = F.when(k == 0, text("(", c, ", ", c % 7, ")")).when(k == 1, text(c, ".0")).when(k == 2, text("[1, ", c + 1, "]")).otherwise(text(c % 3))
+    truth = F.when(k == 0, text("(", c, ",", o % 7, ")")).when(k == 1, text(c)).when(k == 2, text("(1, ", c + 1, ")")).otherwise(F.lit("0"))
+    return table(s, d, "orders").select("o_orderkey", G.grade(given, truth).alias("ok"))
+
+
+@register("f23_actions_of_documents", """SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN 'bash' WHEN 5 THEN 'noop' ELSE 'edit' END AS type, CASE doc_id % 6 WHEN 0 THEN 'patch' WHEN 1 THEN 'insert' WHEN 2 THEN 'overwrite' WHEN 4 THEN 'patch' END AS mode,
+CASE WHEN doc_id % 6 < 4 AND regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> '' THEN 1 ELSE 0 END AS valid, CASE WHEN doc_id % 6 IN (0, 4) THEN md5(coalesce(text, '')) WHEN doc_id % 6 IN (1, 2) THEN md5(coalesce(text, '') || '!') END AS payload FROM documents""")
+def f23b(s, d):
+    """Whole texts as what a response searches for, inserts, writes, runs, does without a thought, or just says."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    edit = lambda *body: F.concat(F.lit("<edit path='d"), F.col("doc_id").cast("string"), F.lit(".py'>"), *(F.lit(b) if isinstance(b, str) else b for b in body), F.lit("</edit>"))
+    patch = edit("<search>", t, "</search><replace>y</replace>")
+    said = F.when(k == 0, patch).when(k == 1, edit("<insert>", t, "</insert>")).when(k == 2, edit("<code>", t, "</code>")).when(k == 3, F.concat(F.lit("<execute_bash>"), t, F.lit("</execute_bash>"))).when(k == 4, patch).otherwise(F.concat(F.lit("said "), t))
+    a = G.parse_action(F.when(k == 4, said).otherwise(F.concat(F.lit("<think>t</think>"), said)))
+    payload = F.when(k.isin(0, 4), F.md5(F.col("a.search"))).when(k == 1, F.md5(F.concat(F.col("a.insert"), F.lit("!")))).when(k == 2, F.md5(F.concat(F.col("a.content"), F.lit("!"))))
+    return table(s, d, "documents").withColumn("a", a).select("doc_id", "a.type", "a.mode", "a.valid", payload.alias("payload"))
+
+
 @register("f24_apply_edit", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(replace(text, 'zqzqx', 'y')) WHEN 1 THEN md5(CASE WHEN text = '' OR right(text, 1) = chr(10) THEN text || 'tail' ELSE text || chr(10) || 'tail' END) WHEN 2 THEN md5('new') ELSE md5(text) END AS h,
 CASE WHEN doc_id % 4 = 0 AND text NOT LIKE '%zqzqx%' THEN 'search text not found' WHEN doc_id % 4 = 3 THEN 'empty insert' END AS error FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def f24(s, d):
