@@ -388,7 +388,8 @@ def t08(s, d):
     late = e.filter("event_id % 3 <> 0").withColumn("ts", F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int")))
     late.unionByName(end).select("event_id", F.col("ts").alias("rewarded_at"), F.col("value").alias("reward")).write.parquet(rewards)
     joined = K.with_late_rewards(s.readStream.schema("event_id long, ts timestamp").parquet(steps), s.readStream.schema("event_id long, rewarded_at timestamp, reward double").parquet(rewards), "event_id", "ts", "rewarded_at", "60 MINUTES")
-    return S.run_to_memory(joined, "rewards_" + uuid.uuid4().hex, "append", _folder(s)).filter("event_id >= 0").select("event_id", "reward")
+    with K.state_store(s):  # all steps and rewards wait in state: on the executors' disks, not on their heaps
+        return S.run_to_files(joined, _folder(s), _folder(s)).filter("event_id >= 0").select("event_id", "reward")
 
 
 @register("t10_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'F'")

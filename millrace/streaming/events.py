@@ -84,6 +84,12 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, at: str, checkpoint: str) -> DataFrame:
+    """Runs all that is available and returns what was appended: Parquet files under ``at``, written by the tasks, so no row goes to the driver."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", at).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(at)
+
+
 def resume(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     """Rows without a finished result of an earlier run."""
     return rows.join(prior.filter("error IS NULL").select(key), key, "left_anti")
