@@ -368,7 +368,7 @@ def t07(s, d):
 def t03(s, d):
     source = F.floor(F.col("value") / 100).cast("string")
     with K.state_store(s):
-        return S.run_to_memory(K.gate_changes(_stream(s, d), "user_id", "event_id", F.col("event_type"), source, F.lit(False)), "gate_" + uuid.uuid4().hex, "append", _folder(s))
+        return S.run_to_files(K.gate_changes(_stream(s, d), "user_id", "event_id", F.col("event_type"), source, F.lit(False)), _folder(s), _folder(s))
 
 
 @register("t06_locked_ids", """WITH f AS (SELECT event_type AS run, 'u' || user_id AS id, min(event_id) AS place FROM events GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run ORDER BY place, id) - 1 AS INT) AS rank FROM f)

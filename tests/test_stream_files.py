@@ -9,7 +9,7 @@ from millrace.streaming import events, keyed
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["t08_late_rewards"])
+@pytest.mark.parametrize("name", ["t08_late_rewards", "t03_gate_stream"])
 def test_output_is_in_files(spark, name):
     out = registry.queries()[name](spark, SF)
     assert out.inputFiles()  # a table in the driver's memory has none
