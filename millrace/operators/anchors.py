@@ -17,6 +17,7 @@ from difflib import SequenceMatcher
 from hashlib import md5
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,16 +66,81 @@ def largest_by_row(occurrences: Iterable[Occurrence]) -> list[Occurrence]:
     return list(best.values())
 
 
+class FirstAlike:
+    """Texts in the order they are added; ``find`` gives the place of the first one whose ratio to a text is at least ``least``.
+
+    The ratio is taken only where upper bounds allow it: lengths, then characters and q-grams that both texts have, counted by
+    hash buckets, then the q-grams themselves (hashes that meet can only raise a bound). So nothing is lost, and unrelated texts
+    cost a thousand bytes of comparison, not an alignment."""
+
+    Q, CHARS, GRAMS, CHUNK = 3, 64, 960, 512
+
+    def __init__(self, least: float):
+        self.least, self.texts, self.grams = least, [], []
+        self.size = np.zeros(0, np.int64)
+        self.counts = np.zeros((0, self.CHARS + self.GRAMS), np.uint8)
+
+    def _counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by bucket of characters and q-grams (those kept are cut at 255, which ``find`` allows for), and the numbered q-grams."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        grams = code[: max(0, len(code) - self.Q + 1)].copy()
+        for k in range(1, self.Q):
+            grams = grams * np.uint64(1000003) + code[k : k + len(grams)]
+        grams = np.sort(grams * np.uint64(0x9E3779B97F4A7C15))
+        numbered = grams + np.arange(len(grams), dtype=np.uint64) - np.searchsorted(grams, grams).astype(np.uint64)
+        counts = [np.bincount((x % np.uint64(n)).astype(np.int64), minlength=n) for x, n in ((code, self.CHARS), (grams >> np.uint64(40), self.GRAMS))]
+        return np.concatenate(counts), np.sort(numbered)
+
+    def add(self, text: str) -> None:
+        n = len(self.texts)
+        if n == len(self.size):
+            room = max(16, n)
+            self.size = np.append(self.size, np.zeros(room, np.int64))
+            self.counts = np.append(self.counts, np.zeros((room, self.counts.shape[1]), np.uint8), 0)
+        counts, grams = self._counted(text)
+        self.size[n], self.counts[n] = len(text), np.minimum(counts, 255)
+        self.texts.append(text)
+        self.grams.append(grams)
+
+    def find(self, text: str) -> int | None:
+        """The ratio isn't symmetric; the text comes first."""
+        own, grams = self._counted(text)
+        over = np.maximum(own - 255, 0)
+        lost = int(over[: self.CHARS].sum()), int(over[self.CHARS :].sum())  # what cut counts may hide
+        own = np.minimum(own, 255).astype(np.uint8)
+        matcher = SequenceMatcher(None, text)
+        for at in range(0, len(self.texts), self.CHUNK):
+            size = self.size[at : min(at + self.CHUNK, len(self.texts))]
+            total = size + len(text)
+            near = np.flatnonzero(2 * np.minimum(size, len(text)) >= self.least * total - 1e-9)
+            both = np.minimum(self.counts[at + near], own)
+            matched = self.least * total[near] / 2
+            least_grams = matched - (self.Q - 1) * (total[near] * (1 - self.least) + 1)  # see similar.least_common
+            ok = (both[:, : self.CHARS].sum(1, dtype=np.int64) + lost[0] >= matched - 1e-9) & (both[:, self.CHARS :].sum(1, dtype=np.int64) + lost[1] >= least_grams - 1e-9)
+            for k, least in zip((at + near[ok]).tolist(), least_grams[ok].tolist()):
+                if least > 0 and len(grams):
+                    other = self.grams[k]
+                    if np.count_nonzero(other[np.minimum(np.searchsorted(other, grams), len(other) - 1)] == grams) < least - 1e-9:
+                        continue
+                matcher.set_seq2(self.texts[k])
+                if matcher.quick_ratio() >= self.least and matcher.ratio() >= self.least:
+                    return k
+        return None
+
+
 def merge_by_support(groups: Sequence[Sequence[Occurrence]], similar: float) -> list[list[Occurrence]]:
     """Groups in order of support; each joins the first survivor whose first text is similar, once and for all."""
-    kept: list[tuple[str, list[Occurrence]]] = []
+    kept: list[list[Occurrence]] = []
+    heads = FirstAlike(similar)
     for g in sorted(groups, key=len, reverse=True):
-        home = next((own for text, own in kept if SequenceMatcher(None, g[0].text, text).ratio() >= similar), None) if similar < 1 else None
+        home = heads.find(g[0].text) if similar < 1 else None
         if home is None:
-            kept.append((g[0].text, list(g)))
+            kept.append(list(g))
+            if similar < 1:
+                heads.add(g[0].text)
         else:
-            home.extend(g)
-    return [largest_by_row(own) for _, own in kept]
+            kept[home].extend(g)
+    return [largest_by_row(own) for own in kept]
 
 
 def choose_by_gain(groups: Sequence[Sequence[tuple]], scores: Sequence[float], budget: int, tolerance: float = 1e-12) -> list[int]:

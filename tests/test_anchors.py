@@ -1,5 +1,7 @@
 """Anchors of shared lines, their credit, and the sequential steps by themselves."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,41 @@ def test_fallback_groups_by_similarity(spark):
 def test_pair_budget(n, budget, size):
     pairs = pair_budget(n, budget)
     assert len(pairs) == size and all(0 <= i < j < n for i, j in pairs)
+
+
+def plain_merge(groups, similar):
+    kept = []
+    for g in sorted(groups, key=len, reverse=True):
+        home = next((own for text, own in kept if A.SequenceMatcher(None, g[0].text, text).ratio() >= similar), None) if similar < 1 else None
+        if home is None:
+            kept.append((g[0].text, list(g)))
+        else:
+            home.extend(g)
+    return [A.largest_by_row(own) for _, own in kept]
+
+
+@pytest.mark.parametrize("similar", [0.6, 0.8, 0.9, 0.97, 1.0])
+def test_merge_equals_all_ratios(similar):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeé\U0001f600") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    texts = ["", " ", "a", "ab", "ba", "a" * 300, "a" * 300, "a" * 700 + "b", "a" * 700 + "c", "\ud800x"]
+    for n in (2, 5, 20, 60, 120):
+        base = [rng.choice(words) for _ in range(n)]
+        for changed in (0, 1, 2, n // 10, n // 4):
+            own = list(base)
+            for _ in range(changed):
+                own[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    groups = [[A.Occurrence(10 * k + j, 0, 0, 1, t) for j in range(rng.randint(1, 3))] for k, t in enumerate(texts)]
+    assert A.merge_by_support(groups, similar) == plain_merge(groups, similar)
+
+
+def test_merge_aligns_few_unrelated_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)) for _ in range(120)]
+    aligned = []
+    ratio = A.SequenceMatcher.ratio
+    monkeypatch.setattr(A.SequenceMatcher, "ratio", lambda self: aligned.append(1) or ratio(self))
+    groups = [[A.Occurrence(k, 0, 0, 1, t)] for k, t in enumerate([*texts, texts[5] + " more"])]
+    assert len(A.merge_by_support(groups, 0.9)) == 120 and len(aligned) < 100  # of 7,260 pairs
