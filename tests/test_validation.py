@@ -55,3 +55,20 @@ def test_votes_and_means(spark):
 
 def test_sizes():
     assert [V.subset_sizes(n) for n in (0, 1, 2, 3, 4, 5, 8, 9)] == [[], [], [2], [2, 3], [2, 4], [2, 4, 5], [2, 4, 8], [2, 4, 8, 9]]
+
+
+def test_own_reducers_equal_those_in_columns(spark, monkeypatch):
+    monkeypatch.setattr(V, "HELD", 500)
+    rng = np.random.default_rng(8)
+    rows = [(f"s{p % 2}", f"p{p}", i, None if rng.random() < 0.05 else float(rng.integers(0, 5)), rng.choice(["A", "B", None])) for p in range(30) for i in range(int(rng.integers(1, 12)))]
+    df = spark.createDataFrame(rows, "source string, prompt string, i int, score double, pred string")
+    columns = {"best_c": lambda v, p: F.array_max(v), "worst_c": lambda v, p: F.array_min(v), "maj_c": V.majority_of}
+    found = {(r.source, r.prompt, r.metric): r.value for r in V.prompt_metrics(df, "source", "prompt", "i", ["score"], vote="pred", reducers=columns, rounds=50).collect()}
+    both = [(v, found[s, p, m.replace("_c@", "@")]) for (s, p, m), v in found.items() if "_c@" in m]
+    assert len(both) > 300 and [a for a, _ in both] == pytest.approx([b for _, b in both], nan_ok=True, abs=1e-9)
+
+
+def test_own_reducers_join_no_draws(spark, monkeypatch):
+    monkeypatch.setattr(V, "index_tables", lambda *a: pytest.fail("draws were joined"))
+    df = spark.createDataFrame([("a", "p", i, float(i), "x") for i in range(5)], "source string, prompt string, i int, score double, pred string")
+    assert V.validation_metrics(df, "source", "prompt", "i", ["score"], vote="pred", rounds=20).count() == 2 + 3 * 3 * 2
