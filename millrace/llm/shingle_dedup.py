@@ -1,9 +1,11 @@
 """Near-duplicates by word shingles: Jaccard similarity of the sets of five-word shingles, at 0.8 or more.
 
-Candidates come from min-hash bands: 20 keys of four minima each, so a pair at similarity 0.8 shares a key in all but
-0.00003 of cases, and one at 0.9 practically always. (Fingerprints of 64 majority bits lie 8 bits apart at 0.8, with
-a spread of 3; a radius that holds them all has far more chance pairs than true ones in a large corpus.) Every link
-is then decided by the exact similarity of the two sets; sets go only to the groups whose members share a key.
+Candidates come from SimHash: the sets' fingerprints of 64 majority bits are linked at four differing bits or fewer by the
+operator of ``simhash`` (segments on a ring, chains, star contraction), and the sets of a component are one group. At 0.8
+fingerprints lie 8 bits apart, with a spread of 3, and a radius that holds them all has far more chance pairs than true
+ones in a large corpus; so what four bits don't hold comes from min-hash bands beside them: 20 keys of four minima each, of
+which a pair at similarity 0.8 shares one in all but 0.00003 of cases, and one at 0.9 practically always. Every link is
+then decided by the exact similarity of the two sets; sets go only to the groups whose members share a key or a component.
 
 Texts of the same set are collapsed first. Groups of the same members are compared once. In a group, a set that is
 reached is taken out of what is left to be searched, so a dense group costs about its size; what is emitted is a
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import simhash
 from millrace.llm.durable import checkpoint, components, hot_keys, join_split
 from millrace.llm.slices import slices, small_batches, tidy
 
@@ -91,6 +94,14 @@ def links_within(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple
     return out
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(found), 4096):
+        counts += np.unpackbits(found[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << int(k) for k in np.flatnonzero(2 * counts > len(found)))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -128,6 +139,13 @@ def _groups(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "digest").mapInArrow(tidy(run), "gid long, digest long").distinct()
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """(key, digest) of ``prints`` (digest, fp): a key for each component of fingerprints that SimHash links, and for each one by itself."""
+    roots = simhash.components(simhash.links(prints.select("fp").distinct()))
+    placed = prints.join(roots, prints.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "digest")
+    return placed.select(F.xxhash64(F.lit("simhash"), "root").alias("key"), "digest")
+
+
 def rows_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, low: struct of the two, the least of the component): a row for every row of ``docs``."""
     source = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
@@ -138,7 +156,8 @@ def rows_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             keys = [band_keys(s).view(np.int64) for s in found]
             ends = np.cumsum([0, *(len(k) for k in keys)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(np.array([digest(s) for s in found], np.uint64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "text_hash", "digest", "keys"])
+            prints = pa.array(np.array([fingerprint(s) for s in found], np.uint64).view(np.int64), mask=np.array([not len(s) for s in found], bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(np.array([digest(s) for s in found], np.uint64)), prints, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["doc_id", "text_hash", "digest", "fp", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -157,10 +176,12 @@ def rows_of_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         pairs = links_within([np.frombuffer(x.as_py(), np.uint64) for x in group.column("found")])
         return pa.table({"u": pa.array([int(ids[a]) for a, _ in pairs], pa.int64()), "v": pa.array([int(ids[b]) for _, b in pairs], pa.int64())})
 
-    each = checkpoint(source.mapInArrow(tidy(sketch), "doc_id long, text_hash long, digest long, keys array<long>"))
+    each = checkpoint(source.mapInArrow(tidy(sketch), "doc_id long, text_hash long, digest long, fp long, keys array<long>"))
     # rows without an id neither drop others nor are dropped, so they don't link either
     named = each.filter("doc_id IS NOT NULL")
-    groups = checkpoint(_groups(named.groupBy("digest").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "digest")))
+    prints = checkpoint(named.filter("fp IS NOT NULL").select("digest", "fp").distinct())
+    bands = named.groupBy("digest").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "digest")
+    groups = checkpoint(_groups(_components(prints).unionByName(bands)))
     wanted = groups.select("digest").distinct()
     found = source.filter("doc_id IS NOT NULL").select("text").mapInArrow(tidy(sets), "digest long, found binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("found").alias("found"))
     edges = groups.join(found, "digest").groupBy("gid").applyInArrow(link, "u long, v long").distinct()
