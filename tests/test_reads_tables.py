@@ -10,7 +10,7 @@ from millrace.plans import commits, instances, registry  # noqa: F401
 from millrace.sources.writers import flatten_config
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["a80_greedy_parts", "f09_answer_forms", "f15_grade", "f23_parse_action", "j11_pair_budget"]
+NAMES = ["a80_greedy_parts", "f09_answer_forms", "f15_grade", "f23_parse_action", "j11_pair_budget", "k12_flat_config"]
 
 
 @pytest.mark.parametrize("name", NAMES)
