@@ -43,6 +43,8 @@ EDGE = VOCABULARY + KINDS
 EMBED, HIDDEN, BATCH, RATE, MASKED, SEED = 16, 32, 2048, 0.1, 0.25, 4
 PRIOR = 2.0
 CHUNKS, GROUPS = 16, 16
+#: Rows that the network judges at once, so that arrays stay in the processor's caches.
+ROWS = 4096
 BLOCK_BYTES, SPARE_BITS = 3 << 20, 14
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fixed words of the hashes: the end of a text, and what tells pairs from windows.
@@ -51,6 +53,13 @@ END_HASH, PAIR = U(0x5BD1E9955BD1E995), U(0xC2B2AE3D27D4EB4F)
 
 def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and kind of each word of texts in order (A-Z lower-cased), and the number of words of each text."""
+    at = np.cumsum([0] + [len(d) for d in data]) // blocks.BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at[:-1])) + 1).tolist(), len(data)]
+    return tuple(np.concatenate(x) for x in zip(*(_words_of(data[a:b]) for a, b in zip(cuts, cuts[1:]))))
+
+
+def _words_of(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of texts of about BATCH_BYTES, so that arrays stay in the processor's caches."""
     data = [d.translate(LOWER) for d in data]
     buf = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
     start, end = _word_bounds(buf)
@@ -96,8 +105,10 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (s for b in batches for s in slices(b, 0, 4 << 20)):
             hashed, kind, _ = words([x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])
-            own, first, n = np.unique(hashed, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kind[first].astype(np.int32)), pa.array(n)], names=["word", "kind", "n"])
+            order = np.argsort(hashed)  # not stable: any place of a word has its kind
+            own = hashed[order]
+            first = blocks.starts(own)
+            yield pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(kind[order[first]].astype(np.int32)), pa.array(np.diff(np.append(first, len(own))))], names=["word", "kind", "n"])
 
     counts = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(tidy(run), "word long, kind int, n long").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n"))
     counts = checkpoint(counts)
@@ -145,68 +156,85 @@ class WindowNetwork:
         if not bounded:
             z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        return z, z.sum(1)
+        return z, z @ np.ones(z.shape[1], z.dtype)
 
     def _bounded(self) -> tuple[bool, bool]:
         """Whether the outputs' weights are so small that no exponential can overflow (hidden values lie within 1)."""
         return bool(np.abs(self.classes).sum(0).max() < 60), bool(np.abs(self.inside).sum(1).max() < 60)
 
-    def _hidden(self, context: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        one = np.ones((len(context[0]), 1), np.float32)
-        x = np.hstack([*(self.embed[c] for c in context), one])
-        return x, np.hstack([np.tanh(x @ self.hidden), one])
+    @staticmethod
+    def _by_class(word: np.ndarray) -> np.ndarray:
+        """Order of words by class, those of a class as they were."""
+        return np.argsort((word // SLOTS).astype(np.min_scalar_type(CLASSES)), kind="stable")
+
+    @staticmethod
+    def _runs(cls: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, first row, end) of rows in order of class."""
+        first = blocks.starts(cls)
+        return list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)]))
 
     def log_probability(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         """log p(word | two words at each side); words are numbers."""
         out = np.zeros(len(word))
         flat, deep = self._bounded()
-        for at in range(0, len(word), 1 << 15):
-            part = slice(at, at + (1 << 15))
-            _, h = self._hidden([c[part] for c in context])
-            cls, slot = np.divmod(word[part], SLOTS)
+        # what each word adds to the hidden layer from each place, so that a row is a sum of four
+        added = [self.embed @ self.hidden[k * EMBED : (k + 1) * EMBED] for k in range(4)]
+        order = self._by_class(word)
+        for at in range(0, len(word), ROWS):
+            part = order[at : at + ROWS]
+            h = np.ones((len(part), HIDDEN + 1), np.float32)
+            total = np.repeat(self.hidden[-1:], len(part), 0)
+            for c, table in zip(context, added):
+                total += table.take(c.take(part), 0)
+            np.tanh(total, out=h[:, :-1])
+            cls, slot = np.divmod(word.take(part), SLOTS)
             e, total = self._softmax(h @ self.classes, flat)
             own = e[np.arange(len(cls)), cls] / total
-            for rows in self._by_class(cls):
-                e, total = self._softmax(h[rows] @ self.inside[cls[rows[0]]], deep)
-                own[rows] *= e[np.arange(len(rows)), slot[rows]] / total
+            z = np.empty((len(part), SLOTS), np.float32)
+            for c, a, b in self._runs(cls):
+                np.matmul(h[a:b], self.inside[c], out=z[a:b])
+            e, total = self._softmax(z, deep)
+            own *= e[np.arange(len(cls)), slot] / total
             out[part] = np.log(np.maximum(own, 1e-37))
         return out
 
-    @staticmethod
-    def _by_class(cls: np.ndarray) -> list[np.ndarray]:
-        order = np.argsort(cls, kind="stable")
-        return np.split(order, np.flatnonzero(np.diff(cls[order])) + 1) if len(cls) else []
-
     def step(self, context: list[np.ndarray], word: np.ndarray) -> float:
         """One step of AdaGrad on a minibatch; returns the mean loss before it."""
-        n = np.float32(len(word))
-        x, h = self._hidden(context)
-        cls, slot = np.divmod(word, SLOTS)
-        dz, total = self._softmax(h @ self.classes)
-        dz /= total[:, None]
-        loss = -float(np.log(np.maximum(dz[np.arange(len(cls)), cls], 1e-37)).sum())
-        dz[np.arange(len(cls)), cls] -= 1
-        grads = {"classes": h.T @ dz / n}
-        dh = dz @ self.classes.T
-        touched, inside = [], []
-        for rows in self._by_class(cls):
-            c = int(cls[rows[0]])
-            dz, total = self._softmax(h[rows] @ self.inside[c])
-            dz /= total[:, None]
-            loss -= float(np.log(np.maximum(dz[np.arange(len(rows)), slot[rows]], 1e-37)).sum())
-            dz[np.arange(len(rows)), slot[rows]] -= 1
-            dh[rows] += dz @ self.inside[c].T
-            touched.append(c)
-            inside.append(h[rows].T @ dz / n)
-        dh = dh[:, :-1] * (1 - h[:, :-1] ** 2)
-        grads["hidden"] = x.T @ dh / n
-        dx = (dh @ self.hidden.T)[:, :-1] / n
-        used, place = np.unique(np.concatenate(context), return_inverse=True)
-        embed = np.zeros((len(used), EMBED), np.float32)
-        np.add.at(embed, place, np.concatenate([dx[:, k * EMBED : (k + 1) * EMBED] for k in range(4)]))
-        for name, rows, g in [("classes", slice(None), grads["classes"]), ("hidden", slice(None), grads["hidden"]), ("embed", used, embed), *(("inside", c, g) for c, g in zip(touched, inside))]:
+        n, order = np.float32(len(word)), self._by_class(word)
+        context, word = np.stack(context, 1)[order], word[order]
+        x = np.ones((len(word), 4 * EMBED + 1), np.float32)
+        x[:, :-1] = self.embed.take(context.ravel(), 0).reshape(len(word), -1)
+        h = np.ones((len(word), HIDDEN + 1), np.float32)
+        np.tanh(x @ self.hidden, out=h[:, :-1])
+        row, (cls, slot) = np.arange(len(word)), np.divmod(word, SLOTS)
+        runs = self._runs(cls)
+        flat, total = self._softmax(h @ self.classes)
+        flat /= total[:, None]
+        deep = np.empty((len(word), SLOTS), np.float32)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.inside[c], out=deep[a:b])
+        deep, total = self._softmax(deep)
+        deep /= total[:, None]
+        loss = -float(np.log(np.maximum(flat[row, cls], 1e-37)).sum() + np.log(np.maximum(deep[row, slot], 1e-37)).sum())
+        flat[row, cls] -= 1
+        deep[row, slot] -= 1
+        inside = np.zeros_like(self.inside)  # of classes that don't occur it stays zero, which changes nothing
+        back = np.empty_like(h)
+        for c, a, b in runs:
+            np.matmul(h[a:b].T, deep[a:b], out=inside[c])
+            np.matmul(deep[a:b], self.inside[c].T, out=back[a:b])
+        back += flat @ self.classes.T
+        dh = back[:, :-1] * (1 - h[:, :-1] ** 2)
+        dx = (dh @ self.hidden[:-1].T).reshape(-1, EMBED)
+        order = np.argsort(context.ravel().astype(np.min_scalar_type(EDGE)), kind="stable")
+        near = context.ravel()[order]
+        first = blocks.starts(near)
+        for name, rows, g in [("classes", slice(None), h.T @ flat), ("hidden", slice(None), x.T @ dh), ("embed", near[first], np.add.reduceat(dx.take(order, 0), first, 0)), ("inside", slice(None), inside)]:
+            g /= n
             self.seen[name][rows] += g * g
-            getattr(self, name)[rows] -= RATE * g / np.sqrt(self.seen[name][rows])
+            g *= RATE
+            g /= np.sqrt(self.seen[name][rows])
+            getattr(self, name)[rows] -= g
         return loss / float(n)
 
     def train_on(self, numbers: np.ndarray, n_words: np.ndarray) -> int:
@@ -312,13 +340,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         cuts = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)).tolist() + [len(values)]
         body = (values << U(bits)) >> U(bits + drop)
         block = t.column("block")[0].as_py()
-        return blocks.to_table([(block, k, b - a, 0, blocks.pack_sorted(body[a:b]) + pack_counts(n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+        return blocks.to_table([(block, k, b - a, 0, packed + pack_counts(n[a:b])) for (k, a, b), packed in blocks.pack_runs(body, cuts)])
 
     def add(t: pa.Table) -> pa.Table:
         asked = sorted(zip(*(t.column(c).to_pylist() for c in ("block", "bucket", "n", "data"))))
         parts = [(k, unpack_counts(rest)) for _, _, n, data in asked for k, rest in [blocks.unpack_sorted(data, n)]]
-        _, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        sums = np.bincount(group, np.concatenate([n for _, n in parts])).astype(np.int64)[group]
+        ordered, order = blocks.stable_order(np.concatenate([k for k, _ in parts]) << U(bits + drop), bits + drop)
+        first = blocks.starts(ordered)
+        sums = np.empty(len(ordered), np.int64)
+        sums[order] = np.repeat(np.add.reduceat(np.concatenate([n for _, n in parts])[order], first), np.diff(np.append(first, len(ordered))))
         replies = np.split(sums, np.cumsum([len(k) for k, _ in parts])[:-1])
         return blocks.to_table([(block, bucket, n, 0, pack_counts(own)) for (block, bucket, n, _), own in zip(asked, replies)])
 
@@ -330,8 +360,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         replies = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(d) for _, d in replies)])
         both, doc = np.concatenate([pair, window]), np.tile(np.repeat(np.arange(len(n)), n), 2)
-        order = np.argsort(both, kind="stable")  # equal fingerprints stay in order of documents
-        ordered, docs_of = both[order], doc[order]
+        ordered, order = blocks.stable_order(both, drop)  # equal fingerprints stay in order of documents
+        docs_of = doc[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(both)]
         edge = np.flatnonzero(fresh | np.append(True, docs_of[1:] != docs_of[:-1])[: len(both)])
         size = np.diff(np.append(edge, len(both)))
@@ -345,5 +375,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         s = sums[ends] - sums[ends - n]
         return pa.table({"doc_id": left.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "log_likelihood": pa.array(s, pa.float64()), "mean_log_likelihood": pa.array(s / np.maximum(n, 1), pa.float64(), mask=n == 0)})
 
-    answers = rows.groupBy("block").applyInArrow(tidy_group(send), blocks.CELL).groupBy("bucket").applyInArrow(tidy_group(add), blocks.CELL)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(judge), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    answers = rows.groupBy("block").applyInArrow(tidy_group(send, cycles=False), blocks.CELL).groupBy("bucket").applyInArrow(tidy_group(add, cycles=False), blocks.CELL)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy_pair(judge, cycles=False), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
