@@ -15,6 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from difflib import SequenceMatcher
 from hashlib import md5
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.groupstats import groupability
-from millrace.operators.joins import pair_budget, similar_groups
+from millrace.operators.joins import similar_groups
 
 
 class Occurrence(NamedTuple):
@@ -184,10 +185,10 @@ def _score(g: Sequence[Occurrence], s0: float, ref: float) -> float:
     return (1 - math.exp(-size / s0)) * (1 - math.exp(-(len(g) - 1) / ref))
 
 
-def anchors_of_prompt(roots: Sequence[tuple[int, int, str, Sequence[str]]], similar: float = 0.8, budget: int = 16, least_lines: int = 1, max_pairs: int = 64, s0: float = 8.0, ref: float = 8.0) -> list[list[Occurrence]]:
+def anchors_of_prompt(roots: Sequence[tuple[int, int, str, Sequence[str]]], similar: float = 0.8, budget: int = 16, least_lines: int = 1, s0: float = 8.0, ref: float = 8.0) -> list[list[Occurrence]]:
     """Chosen anchors of (row, root, kind of edit, lines) of one prompt: whole roots and blocks shared in pairs of roots.
 
-    ``max_pairs`` is the operator's budget of alignments per kind of edit: 0 none, negative all."""
+    All pairs of a kind of edit are aligned."""
     roots = [r for r in roots if len(r[3])]
     if len(roots) < 2:
         return []
@@ -202,7 +203,7 @@ def anchors_of_prompt(roots: Sequence[tuple[int, int, str, Sequence[str]]], simi
         file(kind, "whole", "\n".join(lines), row, root, lines, 0, len(lines))
     for kind in dict.fromkeys(r[2] for r in roots):
         same = [r for r in roots if r[2] == kind]
-        for i, j in pair_budget(len(same), max_pairs):
+        for i, j in combinations(range(len(same)), 2):
             for *spans, text in shared_blocks(same[i][3], same[j][3], least_lines, similar):
                 for (row, root, _, lines), (first, end) in zip((same[i], same[j]), spans):
                     file(kind, "block", text, row, root, lines, first, end)

@@ -124,3 +124,10 @@ def test_merge_aligns_few_unrelated_texts(monkeypatch):
     monkeypatch.setattr(A.SequenceMatcher, "ratio", lambda self: aligned.append(1) or ratio(self))
     groups = [[A.Occurrence(k, 0, 0, 1, t)] for k, t in enumerate([*texts, texts[5] + " more"])]
     assert len(A.merge_by_support(groups, 0.9)) == 120 and len(aligned) < 100  # of 7,260 pairs
+
+
+def test_roots_beyond_any_budget_share_an_anchor(spark):
+    """Of 40 roots only the last two share lines; 64 pairs from the first roots would miss them."""
+    rows = [(0, k, 0, "none", [f"{k} is {'abcdefghij'[k % 10] * (k + 3)}"]) for k in range(38)] + [(0, k, 0, "none", [*COMMON, end * 60]) for k, end in ((38, "x"), (39, "y"))]
+    found = A.find_anchors(spark.createDataFrame(rows, "uid int, row_id long, root int, edit_type string, lines array<string>"), similar=0.9).collect()
+    assert {(r.row_id, r.first, r.end) for r in found} == {(38, 0, 3), (39, 0, 3)}
