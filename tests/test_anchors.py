@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import anchors as A
+from millrace.operators import near
 from millrace.operators.joins import pair_budget
 
 COMMON = ["for line in sys.stdin:", "    total += int(line)", "total //= 3"]
@@ -126,6 +127,61 @@ def test_merge_aligns_few_unrelated_texts(monkeypatch):
     assert len(A.merge_by_support(groups, 0.9)) == 120 and len(aligned) < 100  # of 7,260 pairs
 
 
+@pytest.mark.parametrize("least", [0.5, 0.9, 1.0])
+def test_near_texts_equal_all_ratios(spark, monkeypatch, least):
+    monkeypatch.setattr(near, "PIECE_ROWS", 8)
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "ba", "a" * 300, "a" * 303]
+    for n in (1, 3, 30, 200):
+        for _ in range(6):
+            base = [rng.choice("abc de\U0001f600") for _ in range(n)]
+            for changed in (0, 1, n // 20, n // 8):
+                own = list(base)
+                for _ in range(changed):
+                    own.insert(rng.randrange(len(own)), own.pop(rng.randrange(len(own)))) if rng.random() < 0.5 else own.append("x")
+                texts.append("".join(own))
+    texts = list(dict.fromkeys(texts))
+    rng.shuffle(texts)
+    rows = [(k % 2, k, t, k % 3 > 0) for k, t in enumerate(texts)]
+    reached = lambda a, b: A.SequenceMatcher(None, texts[a], texts[b]).ratio() >= least
+    pairs = [(p, a, b) for p, a, _, x in rows for q, b, _, y in rows if a < b and p == q and (x or y) and texts[a] and texts[b]]
+    expected = {(p, a, b, reached(a, b), reached(b, a)) for p, a, b in pairs}
+    got = near.near_texts(spark.createDataFrame(rows, "part long, id long, text string, new boolean"), least).collect()
+    found = [(r.part, r.a, r.b, r.ab, r.ba) if r.a < r.b else (r.part, r.b, r.a, r.ba, r.ab) for r in got]
+    assert len(found) == len(set(found)) and set(found) == {x for x in expected if x[3] or x[4]}
+
+
+def odd_roots(seed, prompts=3, rows=70):
+    """Roots of few lines with copies, near copies, shared and repeated lines, blank ones, rows of several roots, null keys and kinds."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    lines = [" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(25)] + [" ", "", "a" * 260, "x\ny"]
+    made, out = [], []
+    for k in range(prompts * rows):
+        own = [rng.choice(lines) if rng.random() < 0.4 else " ".join(word() for _ in range(9)) for _ in range(rng.randint(0, 7))]
+        if made and rng.random() < 0.5:
+            own = list(rng.choice(made))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                if own:
+                    n = rng.randrange(len(own))
+                    own[n] = own[n] + rng.choice(["", "z", " end"]) if rng.random() < 0.8 else word()
+        made.append(own)
+        out.append((rng.choice([None, 5, 7]), k // 2, k % 2, rng.choice(["add", "del", None]), own))
+    return out
+
+
+@pytest.mark.parametrize("seed, options", [(1, {"similar": 0.9}), (2, {"similar": 0.6, "least_lines": 2}), (3, {"similar": 0.97, "budget": -1}), (4, {"similar": 1.0}), (5, {"similar": 0.8, "budget": -1})])
+def test_find_anchors_equals_all_pairs(spark, monkeypatch, seed, options):
+    monkeypatch.setattr(near, "PIECE_ROWS", 16)  # several pieces a band
+    roots = odd_roots(seed)
+    expected = set()
+    for uid in (None, 5, 7):
+        own = sorted((r for r in roots if r[0] == uid), key=lambda r: r[1:3])
+        expected |= {(uid, k, *o[:4]) for k, g in enumerate(A.anchors_of_prompt([r[1:] for r in own], **options)) for o in g}
+    got = A.find_anchors(spark.createDataFrame(roots, "uid int, row_id long, root int, edit_type string, lines array<string>"), **options).collect()
+    assert len(got) == len(expected) > 0 and {tuple(r) for r in got} == expected
+
+
 def test_roots_beyond_any_budget_share_an_anchor(spark):
     """Of 40 roots only the last two share lines; 64 pairs from the first roots would miss them."""
     rows = [(0, k, 0, "none", [f"{k} is {'abcdefghij'[k % 10] * (k + 3)}"]) for k in range(38)] + [(0, k, 0, "none", [*COMMON, end * 60]) for k, end in ((38, "x"), (39, "y"))]
