@@ -94,11 +94,11 @@ def common_grams(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def may_reach(a: str, b: str, least: float) -> bool:
-    """Whether lengths, characters and q-grams allow the ratio."""
-    chars, grams = least_shared(len(a) + len(b), least)
+    """Whether lengths, characters and common subsequences allow the ratio."""
+    chars, _ = least_shared(len(a) + len(b), least)
     if min(len(a), len(b)) < chars - 1e-9 or sum((Counter(a) & Counter(b)).values()) < chars - 1e-9:
         return False
-    return grams <= 0 or sum((Counter(zip(a, a[1:], a[2:])) & Counter(zip(b, b[1:], b[2:]))).values()) >= grams - 1e-9
+    return len(subsequence_allows(codes(a), [codes(b)], least)) > 0
 
 
 def reaches(a: str, b: str, least: float) -> bool:
